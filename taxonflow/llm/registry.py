@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxonflow.llm import bitsketch, overlap, topn
+from taxonflow.llm import bitsketch, leakage, overlap, packing, spans, topn
 from taxonflow.session import table
 
 
@@ -33,6 +33,16 @@ def p5_ranked(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_n(table(spark, d, "hit_count"), ["sample_id", "read_no"], "unique_id", "score", 5)
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    runs = spans.shared_runs(table(spark, d, "genome_seq"), "seq_id", "bases")
+    return runs.select(F.col("rec").alias("seq_id"), F.col("start").alias("pos"), F.col("length").alias("fw_length"))
+
+
+def p6_shared_share(spark: SparkSession, d: str) -> DataFrame:
+    share = spans.shared_share(table(spark, d, "genome_seq"), "seq_id", "bases")
+    return share.select(F.col("rec").alias("seq_id"), "n_letters", "n_shared", F.round("share", 6).alias("share"))
+
+
 def _kmer_sketch(spark: SparkSession, d: str) -> DataFrame:
     return bitsketch.build(table(spark, d, "species_kmer"), ["seen_day", "tax_id", "sample_id"], "kmer_hash")
 
@@ -55,13 +65,35 @@ def p7_combinations(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p8_packing(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return packing.packed(packing.token_counts(docs), docs.count())
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p8_packing(spark, d))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_longest_runs(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_overlaps, p5_found, p5_ranked, p7_found, p7_combinations)}
+    return {f.__name__: f for f in (p1_found, p1_overlaps, p5_found, p5_ranked, p6_found, p6_shared_share, p7_found, p7_combinations, p8_packing, p8_fill, p9_found, p9_longest_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
     best = """SELECT sample_id, read_no, unique_id, score, row_number() OVER (PARTITION BY sample_id, read_no ORDER BY score DESC, unique_id) AS rank
         FROM (SELECT sample_id, read_no, unique_id, max(score) AS score FROM hit_count WHERE score IS NOT NULL AND unique_id IS NOT NULL GROUP BY 1, 2, 3) QUALIFY rank <= 5"""
+    runs = """g AS (SELECT seq_id, max(upper(bases)) AS b FROM genome_seq WHERE seq_id IS NOT NULL AND bases IS NOT NULL GROUP BY 1),
+        w AS (SELECT seq_id, i, substr(b, i + 1, 100) AS s FROM (SELECT seq_id, b, unnest(range(0, length(b) - 99)) AS i FROM g WHERE length(b) >= 100)),
+        v AS (SELECT * FROM w WHERE regexp_full_match(s, '[ACGT]+')), m AS (SELECT s FROM v GROUP BY 1 HAVING count(DISTINCT seq_id) > 1),
+        h AS (SELECT seq_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY seq_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM v JOIN m USING (s)),
+        run AS (SELECT seq_id, i, sum(fresh) OVER (PARTITION BY seq_id ORDER BY i) AS r FROM h)"""
     return {
         "p1_found": """WITH k AS (SELECT DISTINCT genome_id AS g, upper(kmer) AS k FROM local_kmer WHERE genome_id IS NOT NULL AND regexp_full_match(upper(kmer), '[ACGT]+')),
             s AS (SELECT g, count(*) AS n FROM k GROUP BY 1), p AS (SELECT a.g AS ga, b.g AS gb, count(*) AS n FROM k a JOIN k b ON a.k = b.k AND a.g < b.g GROUP BY 1, 2)
@@ -69,4 +101,11 @@ def oracle_sql() -> dict[str, str]:
         "p5_found": f"SELECT sample_id, read_no, unique_id FROM ({best})",
         "p5_ranked": best,
         "p7_found": "SELECT strftime(seen_day, '%Y-%m-%d') AS seen_day, tax_id FROM species_kmer WHERE seen_day IS NOT NULL AND tax_id IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT kmer_hash) >= 200",
+        "p6_found": f"WITH {runs} SELECT seq_id, min(i) AS pos, max(i) + 100 - min(i) AS fw_length FROM run GROUP BY seq_id, r",
+        "p6_shared_share": f"""WITH {runs}, l AS (SELECT seq_id, max(i) + 100 - min(i) AS n FROM run GROUP BY seq_id, r), t AS (SELECT seq_id, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY 1)
+            SELECT g.seq_id, length(g.b) AS n_letters, coalesce(t.n, 0) AS n_shared, round(coalesce(t.n, 0) / length(g.b), 6) AS share FROM g LEFT JOIN t ON t.seq_id = g.seq_id""",
+        "p9_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+            dw AS (SELECT doc_id, array_to_string(w[i : i + 24], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 23)) AS i FROM d WHERE len(w) >= 25)),
+            ew AS (SELECT item_id, array_to_string(w[i : i + 24], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 23)) AS i FROM e WHERE len(w) >= 25))
+            SELECT DISTINCT doc_id, item_id FROM dw JOIN ew ON dw.s = ew.s""",
     }
