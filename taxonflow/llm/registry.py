@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from taxonflow.llm import bitsketch, leakage, overlap, packing, spans, topn
+from taxonflow.llm import bitsketch, leakage, overlap, packing, spans, stuffing, topn
 from taxonflow.session import table
 
 
@@ -82,8 +82,17 @@ def p9_longest_runs(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.stuffed(table(spark, d, "documents"))
+
+
+def p10_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The share of stuffing and its autocorrelation, of every document with any."""
+    return stuffing.scores(table(spark, d, "documents")).select("doc_id", F.round("share", 6).alias("share"), F.round("correlation", 6).alias("correlation"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_overlaps, p5_found, p5_ranked, p6_found, p6_shared_share, p7_found, p7_combinations, p8_packing, p8_fill, p9_found, p9_longest_runs)}
+    return {f.__name__: f for f in (p1_found, p1_overlaps, p5_found, p5_ranked, p6_found, p6_shared_share, p7_found, p7_combinations, p8_packing, p8_fill, p9_found, p9_longest_runs, p10_found, p10_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
