@@ -31,7 +31,8 @@ STATE = "tid long, ptr long, off long, least long, root long, cycle_tid long, se
 
 def valid_lines(nodes: DataFrame) -> DataFrame:
     """One line for each tid, the one with the smallest line_no; columns tid, parent_tid, tax_rank, leaf."""
-    kept = nodes.where("tid is not null").groupBy("tid").agg(F.min_by(F.struct("parent_tid", "tax_rank", "leaf"), F.coalesce("line_no", F.lit(2**63 - 1))).alias("v"))
+    line = F.struct(F.coalesce("line_no", F.lit(2**63 - 1)).alias("n"), "parent_tid", "tax_rank", "leaf")
+    kept = nodes.where("tid is not null").groupBy("tid").agg(F.min(line).alias("v"))
     return kept.select("tid", "v.parent_tid", "v.tax_rank", "v.leaf")
 
 

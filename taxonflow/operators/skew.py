@@ -5,7 +5,7 @@ copy of a value is one weighted row. All later steps work on weighted values. No
 
 Defined results: a null key is a group of its own; null values count as rows but take no part in sums, distinct
 counts, modes and percentiles (these are null, or 0 for counts, where a key has no value); an empty table gives an
-empty result; repeated rows count as often as they stand there.
+empty result; repeated rows count as often as they stand there. Values are numbers.
 """
 
 from __future__ import annotations
@@ -77,5 +77,5 @@ def profile(df: DataFrame, key: str, value: str, shares: dict[str, float] | None
 def hot_keys(df: DataFrame, key: str, value: str, share: float) -> DataFrame:
     """(key, n_rows) of the non-null keys that hold at least ``share`` of all rows, the rows of null keys included."""
     per_key = totals(compress(df, key, value)).select("key", "n_rows")
-    whole = per_key.agg(F.sum("n_rows").alias("all_rows"))  # one row
+    whole = df.agg(F.count(F.lit(1)).alias("all_rows"))  # one row, read from the files' footers
     return per_key.join(F.broadcast(whole)).where(F.col("key").isNotNull() & (F.col("n_rows") >= F.lit(share) * F.col("all_rows"))).select("key", "n_rows")
