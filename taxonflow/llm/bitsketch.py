@@ -1,7 +1,7 @@
 """Distinct counts from stochastic-averaging bit matrices of hash ranks.
 
 A hash picks one of ``m`` rows and a rank (geometric, 1/2 for rank 0, 1/4 for rank 1, ...); the sketch is the m x 64
-matrix of the bits seen. Only non-zero rows are stored, as (group, row, bits), so small groups stay small and a
+matrix of the bits seen. Only non-zero rows are stored, as (group, _row, _bits), so small groups stay small and a
 group of any size is built by partial aggregation over all tasks. Sketches of the same m merge by bitwise or, for days,
 taxa, samples or any combination of them.
 
@@ -27,7 +27,7 @@ RANKS = 64
 
 
 def build(df: DataFrame, groups: list[str], identifier: str, m: int = ROWS) -> DataFrame:
-    """groups, row, bits: the partial result to store. m is a power of two."""
+    """groups, _row, _bits: the partial result to store. m is a power of two."""
     if m & (m - 1):
         raise ValueError("m must be a power of two")
     h = F.xxhash64(identifier)
@@ -37,12 +37,12 @@ def build(df: DataFrame, groups: list[str], identifier: str, m: int = ROWS) -> D
     mask = F.when(rest == 0, F.shiftleft(F.lit(1).cast("long"), 63 - log_m)).otherwise(lowest)
     known = F.col(identifier).isNotNull()
     rows = df.select(*groups, F.when(known, h).alias("_h"))
-    return rows.groupBy(*groups, F.when(F.col("_h").isNotNull(), F.col("_h").bitwiseAND(m - 1).cast("int")).alias("row")).agg(F.bit_or(mask).alias("bits"))
+    return rows.groupBy(*groups, F.when(F.col("_h").isNotNull(), F.col("_h").bitwiseAND(m - 1).cast("int")).alias("_row")).agg(F.bit_or(mask).alias("_bits"))
 
 
 def merge(sketch: DataFrame, groups: list[str]) -> DataFrame:
     """Union over all group columns that are not named."""
-    return sketch.groupBy(*groups, "row").agg(F.bit_or("bits").alias("bits"))
+    return sketch.groupBy(*groups, "_row").agg(F.bit_or("_bits").alias("_bits"))
 
 
 def maximum_likelihood(seen: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -74,9 +74,9 @@ def maximum_likelihood(seen: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray
 
 def estimate(sketch: DataFrame, groups: list[str], m: int = ROWS, sigmas: float = 3.0) -> DataFrame:
     """groups, n_distinct, std_error, lower, upper. One row of 64 numbers for each group goes to Python."""
-    bits = [F.sum(F.shiftrightunsigned("bits", j).bitwiseAND(1)).alias(f"b{j}") for j in range(RANKS)]
+    bits = [F.sum(F.shiftrightunsigned("_bits", j).bitwiseAND(1)).alias(f"_b{j}") for j in range(RANKS)]
     counts = sketch.groupBy(*groups).agg(*bits)
-    keyed = counts.select(*groups, F.array(*[F.coalesce(F.col(f"b{j}"), F.lit(0)) for j in range(RANKS)]).alias("_seen"))
+    keyed = counts.select(*groups, F.array(*[F.coalesce(F.col(f"_b{j}"), F.lit(0)) for j in range(RANKS)]).alias("_seen"))
     out = keyed.schema
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in out.fields if f.name != "_seen")
 

@@ -8,7 +8,8 @@ and both are equal (empty ones aside) are counted; with Poisson arrivals these t
 intersection, given both cardinalities (each the maximum-likelihood estimate from its own registers), is maximised.
 
 Sketches are compared block against block of sets, so each sketch is sent to as many tasks as there are blocks and no
-record of any set leaves its own group. Relative error of a share s of the union is about sqrt((1 - s) / (s m)).
+record of any set leaves its own group. The standard error of each estimate joins the error of the share s of the union,
+sqrt(s (1 - s) / registers in use), and the error of the union's own size.
 
 Defined results: null sets and null or invalid identifiers are no members; repeated rows change nothing; a set without
 members does not appear; an empty table gives no pair.
@@ -85,7 +86,7 @@ def _dense(regs: list, m: int) -> np.ndarray:
 
 
 def _compare(m: int):
-    def run(key, part: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         i, j = int(key[0]), int(key[1])
         part = part.sort_values("grp", ignore_index=True)
         left, right = part.index[part.block == i].to_numpy(), part.index[part.block == j].to_numpy()
@@ -106,7 +107,10 @@ def _compare(m: int):
             shared = joint_estimate(larger, smaller, equal, np.full(len(others), n[x]), n[others])
             union = n[x] + n[others] - shared
             s = np.clip(shared / union, 0, 1)
-            err = union * np.sqrt(np.maximum(s * (1 - s), 1.0 / m) / np.maximum(larger + smaller + equal, 1))
+            load = np.minimum(union / m, 50)
+            size_err = np.minimum(np.sqrt(m * (np.expm1(load) - load)), union / np.sqrt(m))  # of the union's own estimate
+            split = union * np.sqrt(np.maximum(s * (1 - s), 1.0 / m) / np.maximum(larger + smaller + equal, 1))
+            err = np.sqrt(split**2 + (s * size_err) ** 2)
             out.append(pd.DataFrame({"a": grp[x], "b": grp[others], "n_a": n[x], "n_b": n[others], "shared": shared, "std_error": err}))
         if not out:
             return pd.DataFrame({c: [] for c in ("a", "b", "n_a", "n_b", "shared", "std_error")})
