@@ -72,7 +72,9 @@ class WeightedForest:
         for i in np.argsort(self.hops, kind="stable")[: len(seg)].tolist():
             if self.endless[i]:
                 continue
-            out[i] = seg[i] if is_root[i] else seg[i] + out[parent[i]]
+            above = [] if is_root[i] else out[parent[i]]
+            # a root that an earlier level found to lead into a cycle has no path
+            out[i] = None if seg[i] is None or above is None else seg[i] + above
         return out
 
 

@@ -118,6 +118,16 @@ def test_hierarchy_equals_walking(spark, size, at_once):
     assert ends == {(c, t) for t, (_, _, c) in want.items() if c is not None}
 
 
+@pytest.mark.parametrize("size", [5, 40])
+def test_cycles_found_early_have_followers_elsewhere(spark, size):
+    lines = [(i, 2 * i, 2 * i + 1) for i in range(1, 60)] + [(100 + i, 2 * i + 1, 2 * i) for i in range(1, 60)]  # 59 cycles of two
+    lines += [(1000 + i, 1000 + i, 2 + i % 118) for i in range(300)] + [(2000 + i, 2000 + i, 1000 + i) for i in range(300)]
+    df = spark.createDataFrame([(n, t, p, None, None) for n, t, p in lines], "line_no long, tid long, parent_tid long, tax_rank string, leaf boolean")
+    got = hierarchy.hierarchy(df, links_a_partition=size).collect()
+    want = _walk(lines)
+    assert {r["tid"]: (r["root"], r["path"], r["cycle_tid"]) for r in got} == want
+
+
 def test_hierarchy_counts_descendants_and_empty(spark):
     df = spark.createDataFrame([(1, 1, 1, "a", True), (2, 2, 1, None, None), (3, 3, 2, "c", None), (3, 3, 2, "c", None)], "line_no long, tid long, parent_tid long, tax_rank string, leaf boolean")
     assert {r["tid"]: r["n_descendants"] for r in hierarchy.hierarchy(df).collect()} == {1: 2, 2: 1, 3: 0}
