@@ -2,7 +2,7 @@
 
 Reads are first reduced to classes (an aggregate whose size follows the number of distinct taxon sets, not of reads).
 Up to ``MOST_ROWS`` class rows the iteration runs on the driver in NumPy; beyond that each step is a DataFrame
-aggregate and every tenth step is written out.
+aggregate that is written out, and every tenth is compared with the one before.
 """
 
 from __future__ import annotations
@@ -96,9 +96,8 @@ def abundances(rows: DataFrame, lengths: DataFrame, steps_beyond: int = 200) ->
         return spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(leaves, p, reads)], "tid long, abundance double, read_share double")
     p = cut_lineage(start(rows, lengths))
     for i in range(1, steps_beyond + 1):
-        new = em_step(rows, p, lengths)
+        new = cut_lineage(em_step(rows, p, lengths))  # each step reads the last one several times
         if i % 10 == 0:
-            new = cut_lineage(new)
             gap = new.join(p.withColumnRenamed("p", "q"), "leaf").agg(F.sum(F.abs(F.col("p") - F.col("q")))).first()[0]
             if gap is not None and gap < TOLERANCE:
                 p = new
