@@ -11,17 +11,18 @@ from taxonflow.functions import dna
 def similar_pairs(refs: DataFrame, k: int = 31, one_in: int = 1, by: str | None = None) -> DataFrame:
     """(a, b, n): genomes a < b with n shared distinct (sampled) k-mers, within the groups of ``by`` if it is given.
 
-    k-mers of one genome are dropped before the join. The sample takes k-mers whose hash is divisible by ``one_in``.
+    The sample takes k-mers whose hash is divisible by ``one_in``.
     """
     cols = ["ref_id", *([by] if by else [])]
     k_ = dna.kmers(refs, "ref_id", "bases", k).select("kmer", F.col("ident").alias("ref_id")).where(F.pmod(F.xxhash64("kmer"), F.lit(one_in)) == 0).distinct()
     if by:
         k_ = k_.join(refs.select(*cols), "ref_id").where(F.col(by).isNotNull())
-    keys = ["kmer", *([by] if by else [])]
-    shared = k_.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    m = k_.join(shared, keys)
-    x, y = m.withColumnRenamed("ref_id", "a"), m.withColumnRenamed("ref_id", "b")
-    return x.join(y, keys).where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    # k-mers of one region stand in the same genomes: they are counted by their genome set first, so a pair is made once for
+    # each set (every such pair is a row of the result) and not once for each k-mer
+    sets = k_.groupBy("kmer", *([by] if by else [])).agg(F.sort_array(F.collect_list("ref_id")).alias("s")).where(F.size("s") > 1).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+    first = sets.select("s", "n", F.posexplode("s").alias("i", "a"))
+    pairs = first.where(F.col("i") + 1 < F.size("s")).select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"), "n")
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n"))
 
 
 def merge_order(pairs: DataFrame, lengths: DataFrame, least_share: float = 0.01) -> list[tuple[int, int, int]]:
