@@ -1,7 +1,7 @@
 """Exact per-read classification: greedy seed cover on both strands against a suffix array of the references.
 
 Meant for reference sets whose text is at most ``MOST_LETTERS`` (the size is checked, the index is sent to each task);
-larger sets use the k-mer join in ``seeds``. Sequences are kept apart by separators, so no match crosses a junction.
+larger sets are refused and use the k-mer join in ``seeds``. Sequences are kept apart by separators, so no match crosses a junction.
 The per-read steps are sequential by nature and run in one Arrow-batched call.
 """
 
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_LETTERS = 50_000_000
+MOST_LETTERS = 10_000_000
 FIRST = 10  #: letters looked up at once before a match is extended
 BASE = 15  #: letters that do not count in a score
 
@@ -46,9 +46,9 @@ class Reference:
             rank, step = rank2, step * 2
             if rank.max() == n - 1 or step >= n:
                 break
-        self.sa = sa
         ends = np.cumsum([len(t) + 1 for t in self.texts])
-        self.owner = np.searchsorted(ends, sa, side="right")
+        self.sa, self.owner = sa.astype(np.int32), np.searchsorted(ends, sa, side="right").astype(np.int32)
+        self.texts = []
 
     def _bound(self, p: bytes, upper: bool) -> int:
         lo, hi, m = 0, len(self.sa), len(p)
@@ -216,11 +216,12 @@ def classify(reads: DataFrame, refs: DataFrame, m: int = 22, k: int = 5, exclude
         raise ValueError(f"{letters} letters exceed {MOST_LETTERS}; use the k-mer join")
     rows = refs.select("ref_id", "tid", "bases").orderBy("ref_id").collect()  # at most MOST_LETTERS letters
     ids, tids = [r[0] for r in rows], [r[1] for r in rows]
-    ref = Reference(ids, [r[2] for r in rows]) if rows else None
+    index = reads.sparkSession.sparkContext.broadcast(Reference(ids, [r[2] for r in rows]) if rows else None)  # about ten bytes a letter
     out_of = frozenset(i for i, t in enumerate(tids) if t in set(exclude or []))
     paired = "seq2" in reads.columns
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ref = index.value
         for p in parts:
             out = []
             for x in p.itertuples(index=False):

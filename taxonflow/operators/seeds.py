@@ -40,10 +40,11 @@ def seed_matches(reads_k: DataFrame, index_k: DataFrame) -> DataFrame:
 
 def maximal_matches(matches: DataFrame, k: int = SEED) -> DataFrame:
     """(read_id, fw, ref_id, off, ref_pos, length): runs of matches on one diagonal merged (gaps and islands)."""
-    d = matches.distinct().withColumn("diagonal", F.col("ref_pos") - F.col("off"))
+    d = matches.withColumn("diagonal", F.col("ref_pos") - F.col("off"))
     w = Window.partitionBy("read_id", "fw", "ref_id", "diagonal").orderBy("off")
-    island = d.withColumn("island", F.col("off") - F.row_number().over(w))
-    runs = island.groupBy("read_id", "fw", "ref_id", "diagonal", "island").agg(F.min("off").alias("off"), F.min("ref_pos").alias("ref_pos"), (F.count(F.lit(1)) + k - 1).alias("length"))
+    island = d.withColumn("island", F.col("off") - F.dense_rank().over(w))  # repeated matches share their rank
+    length = F.max("off") - F.min("off") + k
+    runs = island.groupBy("read_id", "fw", "ref_id", "diagonal", "island").agg(F.min("off").alias("off"), F.min("ref_pos").alias("ref_pos"), length.alias("length"))
     return runs.select("read_id", "fw", "ref_id", "off", "ref_pos", "length")
 
 
