@@ -68,6 +68,23 @@ def distinct_kmers(refs: DataFrame, k: int = 31, exact: bool = True) -> DataFram
     return all_.agg(F.hll_sketch_estimate(F.hll_sketch_agg("kmer", F.lit(16))).alias("n_kmers"))
 
 
+def taxon_kmers(refs: DataFrame, k: int = 31) -> DataFrame:
+    """(tid, n_kmers): exact distinct k-mers of each taxon's sequences, k-mers grouped before they are counted."""
+    of = refs.where("tid is not null").select(F.col("ref_id").alias("ident"), "tid")
+    return dna.kmers(refs, "ref_id", "bases", k).join(of, "ident").select("tid", "kmer").distinct().groupBy("tid").agg(F.count(F.lit(1)).alias("n_kmers"))
+
+
+def taxon_sketches(refs: DataFrame, k: int = 31) -> DataFrame:
+    """(tid, sketch): a mergeable distinct-count state for each taxon."""
+    of = refs.where("tid is not null").select(F.col("ref_id").alias("ident"), "tid")
+    return dna.kmers(refs, "ref_id", "bases", k).join(of, "ident").groupBy("tid").agg(F.hll_sketch_agg("kmer", F.lit(12)).alias("sketch"))
+
+
+def merged_estimate(sketches: DataFrame) -> DataFrame:
+    """(n_kmers) over all taxa, from the union of their states."""
+    return sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n_kmers"))
+
+
 def summary(refs: DataFrame, k: int) -> DataFrame:
     """(key, value) rows: index parameters, then name and length of each sequence."""
     row = lambda key, value: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))

@@ -72,6 +72,16 @@ def nonshared(refs: DataFrame, k: int = 31, least: int = 1) -> DataFrame:
     return gaps.select("ref_id", F.col("from").alias("start"), (F.col("start") - F.col("from")).alias("length")).where(F.col("length") >= least)
 
 
+def species_groups(refs: DataFrame, species: DataFrame, most: int = 50_000_000) -> DataFrame:
+    """(species, header, n_genomes, mean_size, longest, is_large): the genomes of each species; ``species`` is (tid, promoted).
+
+    ``is_large`` marks species whose mean genome exceeds ``most`` letters; they are left out of compression.
+    """
+    g = refs.where("tid is not null").join(species, "tid", "left").select(F.coalesce("promoted", "tid").alias("species"), F.length("bases").cast("bigint").alias("n"))
+    per = g.groupBy("species").agg(F.count(F.lit(1)).alias("n_genomes"), F.expr("sum(n) div count(*)").alias("mean_size"), F.max("n").alias("longest"))
+    return per.select("species", F.concat(F.lit("cid|"), dna.taxid_text(F.col("species"))).alias("header"), "n_genomes", "mean_size", "longest", (F.col("mean_size") > most).alias("is_large"))
+
+
 def complexity(seq, window: int = 3):
     """Share of distinct triplets among a sequence's triplets: low for simple repeats."""
     n = F.length(seq) - window + 1

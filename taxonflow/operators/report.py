@@ -39,6 +39,11 @@ def clade_report(clades: DataFrame, lines: DataFrame, resolved: DataFrame, show_
     )
 
 
+def filtered(rows: DataFrame, min_score: int = 0, min_length: float = 0) -> DataFrame:
+    """Assignment rows that reach a score and a hit length."""
+    return rows.where((F.col("score") >= min_score) & (F.col("hit_len") >= min_length))
+
+
 def score_report(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     """(tid, score, per_base): summed score, and divided by the genome's length."""
     s = rows.groupBy("tid").agg(F.sum("score").alias("score"))

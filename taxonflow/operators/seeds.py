@@ -25,12 +25,15 @@ def index(refs: DataFrame, ref_id: str, seq: str, k: int = SEED, cap: int | None
     return all_.join(seldom, "kmer")
 
 
-def read_kmers(reads: DataFrame, read_id: str, seq: str, k: int = SEED) -> DataFrame:
-    """(kmer, read_id, fw, off) of both strands; off counts from the start of the strand read."""
+def read_kmers(reads: DataFrame, read_id: str, seq: str, k: int = SEED, strands: tuple[str, ...] = ("fw", "rc")) -> DataFrame:
+    """(kmer, read_id, fw, off) of the chosen strands; off counts from the start of the strand read."""
+    if not strands or set(strands) - {"fw", "rc"}:
+        raise ValueError("strands are fw, rc or both")
     strand = lambda s, fw: dna.kmers(s, "r", "s", k).select("kmer", F.col("ident").alias("read_id"), F.lit(fw).alias("fw"), F.col("pos").alias("off"))
     fw = reads.select(F.col(read_id).alias("r"), F.col(seq).alias("s"))
     rc = reads.select(F.col(read_id).alias("r"), dna.reverse_complement(F.col(seq)).alias("s"))
-    return strand(fw, True).unionByName(strand(rc, False))
+    parts = [strand(fw, True)] * ("fw" in strands) + [strand(rc, False)] * ("rc" in strands)
+    return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
 
 
 def seed_matches(reads_k: DataFrame, index_k: DataFrame) -> DataFrame:

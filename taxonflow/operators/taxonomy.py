@@ -51,6 +51,14 @@ def ancestor_at(paths: DataFrame, slot: int) -> DataFrame:
     return paths.select("tid", F.element_at("slots", slot + 1).alias("anc_tid"))
 
 
+def key_at_rank(paths: DataFrame, rank: str) -> DataFrame:
+    """(tid, key): the accumulation key of a classification rank, the first filled slot from the rank's own upward."""
+    if rank not in dna.SLOTS:
+        raise ValueError(f"unknown classification rank {rank}; known: {', '.join(dna.SLOTS)}")
+    up = F.filter(F.slice("slots", dna.SLOTS[rank] + 1, dna.SLOT_COUNT), lambda x: x != 0)
+    return paths.select("tid", F.coalesce(F.get(up, F.lit(0)), F.col("tid")).alias("key"))
+
+
 def pruned(lines: DataFrame, resolved: DataFrame, referenced: DataFrame) -> DataFrame:
     """The lines of all referenced tids and of their ancestors."""
     kept = resolved.join(referenced.select("tid").distinct(), "tid", "left_semi").select(F.explode("path").alias("tid")).distinct()

@@ -172,6 +172,19 @@ def distinct_kmers_approx(spark: SparkSession, d: str) -> DataFrame:
     return index.distinct_kmers(refs(spark, d), 31, exact=False)
 
 
+def taxon_kmers(spark: SparkSession, d: str) -> DataFrame:
+    return index.taxon_kmers(refs(spark, d))
+
+
+def merged_kmers_approx(spark: SparkSession, d: str) -> DataFrame:
+    return index.merged_estimate(index.taxon_sketches(refs(spark, d)))
+
+
+def species_groups(spark: SparkSession, d: str) -> DataFrame:
+    lines, resolved = tree(spark, d)
+    return redundancy.species_groups(refs(spark, d), taxonomy.promotion(lines, resolved, "species"), most=2000)
+
+
 def genome_sim_pairs(spark: SparkSession, d: str) -> DataFrame:
     return redundancy.similar_pairs(refs(spark, d))
 
@@ -239,6 +252,22 @@ def bounded_rollup(spark: SparkSession, d: str) -> DataFrame:
     return out.select("sample_id", "read_no", "tid", F.round("hit_len", 3).alias("hit_len"))
 
 
+def classification_rank(spark: SparkSession, d: str) -> DataFrame:
+    """Best entries when hits are accumulated by genus instead of by taxon."""
+    keys = taxonomy.key_at_rank(taxonomy.canonical_paths(*tree(spark, d)), "genus")
+    h = assign.hits(table(spark, d, "hit_count")).join(keys, "tid", "left").withColumn("tid", F.coalesce("key", "tid")).drop("key")
+    return assign.best_only(assign.finalised(h)).select("sample_id", "read_no", "tid", "score")
+
+
+def score_filter(spark: SparkSession, d: str) -> DataFrame:
+    return report.filtered(chosen(spark, d), 5000, 60).select("sample_id", "read_no", "tid", "score")
+
+
+def one_strand(spark: SparkSession, d: str) -> DataFrame:
+    m = seeds.seed_matches(seeds.read_kmers(reads(spark, d), "read_id", "seq", strands=("rc",)), seeds.index(refs(spark, d), "ref_id", "bases"))
+    return m.groupBy("read_id", "ref_id").agg(F.count(F.lit(1)).alias("n_seeds"))
+
+
 def seqid_display(spark: SparkSession, d: str) -> DataFrame:
     """What stands in the sequence column: the accession for leaves and unranked taxa, else the rank."""
     lines, _ = tree(spark, d)
@@ -442,7 +471,7 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = [
     seed_join, seed_runs, hit_score, occurrence_cap, exact_classification, revcomp, n_filter, trim_reads, kmer_encode, read_id_clean, phred, packed_taxids, rank_names,
     skip_upto, sample_reads, continuous_windows, fasta_fragments, inspect_fasta, inspect_summary, inspect_tree, conversion_table, genome_sizes, kmer_spectrum,
-    distinct_kmers_exact, distinct_kmers_approx, genome_sim_pairs, nonshared_regions, sequences_by_taxon, finalised_entries, best_ties, topk_assign, all_assign, no_traverse,
+    distinct_kmers_exact, distinct_kmers_approx, taxon_kmers, merged_kmers_approx, species_groups, classification_rank, score_filter, one_strand, genome_sim_pairs, nonshared_regions, sequences_by_taxon, finalised_entries, best_ties, topk_assign, all_assign, no_traverse,
     random_assign, second_best, num_matches, exclude_taxa, host_taxa, bounded_rollup, seqid_display, classified_split, output_table, tax_closure, tax_path, genus_of, pruned_tree,
     lca_reads, promote_rank, mean_genome_size, clade_rollup, taxon_report, taxon_weights, batch_totals, kreport_lca, kreport_fraction, kreport_text, score_report, equiv_classes,
     em_step, em_abundance, accuracy, abundance_ssr, rank_corr, rank_kendall, stream_counts,
@@ -552,6 +581,13 @@ def oracle_sql() -> dict[str, str]:
         "genome_sizes": f"WITH {REFS}, {SIZES} SELECT * FROM sizes",
         "kmer_spectrum": f"WITH {REFS} {spectrum}",
         "distinct_kmers_exact": f"WITH {REFS} SELECT count(DISTINCT kmer) AS n_kmers FROM ({k31})",
+        "taxon_kmers": f"WITH {REFS} SELECT tid, count(DISTINCT kmer) AS n_kmers FROM ({k31}) k JOIN reft ON reft.ref_id = k.ident WHERE tid IS NOT NULL GROUP BY 1",
+        "species_groups": f"""WITH RECURSIVE {TREE}, {REFS}, g AS (SELECT cl.tid, arg_min(cl.anc_tid, distance) AS a FROM cl JOIN lines ON lines.tid = cl.anc_tid WHERE tax_rank = 'species' GROUP BY 1), x AS (SELECT coalesce(g.a, reft.tid) AS species, length(bases) AS n FROM reft LEFT JOIN g ON g.tid = reft.tid WHERE reft.tid IS NOT NULL)
+            SELECT species, 'cid|' || CASE WHEN species >> 32 = 0 THEN CAST(species AS VARCHAR) ELSE (species & 4294967295) || '.' || (species >> 32) END AS header, count(*) AS n_genomes, CAST(sum(n) AS BIGINT) // count(*) AS mean_size, max(n) AS longest, CAST(sum(n) AS BIGINT) // count(*) > 2000 AS is_large FROM x GROUP BY 1""",
+        "classification_rank": f"""WITH RECURSIVE {TREE}, {HITS}, rs AS (SELECT tid AS anc_tid, {SLOT.format(r="tax_rank")} AS slot FROM lines), up AS (SELECT cl.tid, cl.anc_tid, distance, slot FROM cl JOIN rs USING (anc_tid) WHERE slot >= 2),
+            f AS (SELECT tid, slot, arg_min(anc_tid, distance) AS a FROM up GROUP BY 1, 2), g AS (SELECT tid, arg_min(a, slot) AS a FROM f GROUP BY 1), kept AS (SELECT hits.* REPLACE (coalesce(g.a, hits.tid) AS tid) FROM hits LEFT JOIN g ON g.tid = hits.tid), {_entries('kept')} SELECT sample_id, read_no, tid, score FROM b""",
+        "score_filter": f"WITH {ENT} SELECT sample_id, read_no, tid, score FROM sel WHERE score >= 5000 AND hit_len >= 60",
+        "one_strand": f"{_seed_cte()} SELECT read_id, ref_id, count(*) AS n_seeds FROM m WHERE NOT fw GROUP BY 1, 2",
         "genome_sim_pairs": f"WITH {REFS}, km AS (SELECT DISTINCT ident, kmer FROM ({k31})) SELECT a.ident AS a, b.ident AS b, count(*) AS n FROM km a JOIN km b ON a.kmer = b.kmer AND a.ident < b.ident GROUP BY 1, 2",
         "nonshared_regions": f"WITH {REFS}, {shared} SELECT ref_id, f AS start, start - f AS length FROM gap WHERE start - f >= 1",
         "sequences_by_taxon": f"WITH {CONV} SELECT pos_id, tid AS taxid, file_pos FROM ac_to_pos p JOIN conv ON conv.uid = upper(trim(p.ac))",
