@@ -5,13 +5,17 @@ term recurs within a short gap, at any place of the passage, and no function wor
 program or a reader needs hardly repeat a term, and code carries punctuation. The text is cut into blocks of ``BLOCK``
 terms. A block is stuffing if
 
-- at least ``RECURRING`` of its terms occur again within ``LAG`` terms before or after,
+- at least ``RECURRING`` of its terms occur again within ``LAG`` terms before or after, or, if at most ``NUMBERS`` numbers and
+  tabs a term mark it as no table, within the text's own lag: ``REACH`` times the median gap between equal terms,
 - at most ``FUNCTION`` of its terms are function words, and
 - it has at most ``PUNCTUATION`` code punctuation marks a term.
 
 The blocks found must, taken together, show a positional autocorrelation of at least ``CORRELATION`` over the lags 1 to
-``LAG`` (the mean chance that two terms so far apart are the same; about the inverse of the number of terms in use) and
-make up more than half of the text. A block of at least ``TAGS`` of its words in hash tags counts as well. Of a link only the words of its path are terms, markup
+``LAG`` (the mean chance that two terms so far apart are the same; about the inverse of the number of terms in use; over
+a longer lag it counts in proportion to that lag) and make up more than half of the text. A block of at least ``TAGS`` of
+its words in hash tags counts as well, and so does a list of distinct nouns whose phrases are offers: at least ``OFFERS``
+of its terms are words of trade, and hardly any quotes, colons or tabs mark it as data. Distinct keywords that neither
+repeat nor are tagged, linked or offered can't be told from a word list and are no case. Of a link only the words of its path are terms, markup
 tags are none, and disguises (zero-width characters, letters set apart by dots or hyphens, digits for letters) are undone
 first.
 
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,10 @@ FUNCTION = 0.06
 PUNCTUATION = 0.25
 CORRELATION = 0.02
 TAGS = 0.6
+REACH = 3
+NUMBERS = 0.1
+OFFERS = 0.12
+FIELDS = 0.1
 LEAST = 24
 
 #: Words that hold sentences together, in the languages of the corpus.
@@ -47,6 +56,12 @@ because only each every any all some there here does do did has have had
 de la le les des du el los las del der die das den und oder nicht mit von zu ist sind y o et ou est sont une un una por para con que
 i z na do nie jest dla od po w""".split()
 
+#: Words that make an offer of a noun, in the languages of the corpus.
+TRADE_WORDS = """buy cheap cheapest discount discounted sale sales deal deals price prices priced offer offers shop shopping store coupon coupons
+wholesale bargain bargains clearance affordable outlet shipping order online promo voucher bestseller
+kaufen billig angebot angebote rabatt preis preise acheter soldes prix promotion comprar barato barata precio precios oferta ofertas descuento
+tani tanie kup sklep cena ceny promocja""".split()
+
 _TERM = np.zeros(256, bool)
 _TERM[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 _TERM[0x80:] = True
@@ -55,6 +70,9 @@ _DIGIT[list(b"0123456789")] = True
 _MARKS = np.zeros(256, bool)
 _MARKS[list(b"(){}[];=<>&\\$+!%^~")] = True
 
+_FIELD = np.zeros(256, bool)
+_FIELD[list(b"\"'`:\t")] = True
+
 _LINK = re.compile(rb"https?://[^\s\"'<>()\[\]]*")
 _TAG = re.compile(rb"</?[a-z][a-z0-9]*|[a-z-]+=(?=\")|/?>")
 _MD_LINK = re.compile(rb"\[([^\]\n]*)\]\((https?://[^)\s]*)\)")
@@ -117,21 +135,36 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, _mixed((total[end] - total[start]) * inverse[start]), np.searchsorted(offsets, start, side="right") - 1
 
 
-_FUNCTION_HASHES: list[np.ndarray] = []
+@cache
+def _hashes(words: tuple[str, ...]) -> np.ndarray:
+    raw = [w.encode() for w in words]
+    return np.unique(terms(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[2])
+
 
+def _among(h: np.ndarray, words: list[str]) -> np.ndarray:
+    known = _hashes(tuple(words))
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
-def _function_hashes() -> np.ndarray:
-    if not _FUNCTION_HASHES:
-        raw = [w.encode() for w in FUNCTION_WORDS]
-        h = terms(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))[2]
-        _FUNCTION_HASHES.append(np.unique(h))
-    return _FUNCTION_HASHES[0]
+
+def own_lags(h: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """The lag of each of n texts: ``REACH`` times the median gap between equal terms, at least ``LAG``, at most half the text."""
+    order = np.argsort(h, kind="stable")
+    same = (h[order][1:] == h[order][:-1]) & (text[order][1:] == text[order][:-1])
+    gap, owner = np.diff(order)[same], text[order][1:][same]
+    by = np.lexsort((gap, owner))
+    gap, first = gap[by], np.searchsorted(owner[by], np.arange(n + 1))
+    many = np.diff(first)
+    out = np.full(n, LAG)
+    some = many > 0
+    out[some] = REACH * gap[first[:-1][some] + many[some] // 2]
+    return np.maximum(LAG, np.minimum(out, np.bincount(text, minlength=n) // 2))
 
 
-def recurring(h: np.ndarray, text: np.ndarray, lag: int = LAG) -> np.ndarray:
-    """Whether each term stands again within ``lag`` terms before or after, in the same text."""
+def recurring(h: np.ndarray, text: np.ndarray, lag: int | np.ndarray = LAG) -> np.ndarray:
+    """Whether each term stands again within ``lag`` terms (one number, or one of each text) before or after, in the same text."""
     order = np.argsort(h, kind="stable")  # by term, then place
-    near = (h[order][1:] == h[order][:-1]) & (np.diff(order) <= lag) & (text[order][1:] == text[order][:-1])
+    most = lag[text[order][1:]] if isinstance(lag, np.ndarray) else lag
+    near = (h[order][1:] == h[order][:-1]) & (np.diff(order) <= most) & (text[order][1:] == text[order][:-1])
     out = np.zeros(len(h), bool)
     out[order[1:][near]] = True
     out[order[:-1][near]] = True
@@ -145,7 +178,7 @@ def autocorrelation(h: np.ndarray, lag: int = LAG) -> float:
 
 
 def shares(data: np.ndarray, offsets: np.ndarray) -> list[tuple[float, float]]:
-    """(share of the text that is stuffing, autocorrelation of the stuffing) of each text."""
+    """(share of the text that is stuffing, autocorrelation of the stuffing over ``LAG`` lags) of each text."""
     start, end, h, text = terms(data, offsets)
     n = len(offsets) - 1
     out = [(0.0, 0.0)] * n
@@ -153,10 +186,9 @@ def shares(data: np.ndarray, offsets: np.ndarray) -> list[tuple[float, float]]:
         return out
     first = np.searchsorted(text, np.arange(n + 1))
     many = np.diff(first)
-    known = _function_hashes()
-    k = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    is_function = known[k] == h
-    again = recurring(h, text)
+    is_function, is_trade = _among(h, FUNCTION_WORDS), _among(h, TRADE_WORDS)
+    lag = own_lags(h, text, n)
+    again, far = recurring(h, text), recurring(h, text, lag)
     tagged = np.zeros(len(h), bool)
     tagged[start > 0] = data[start[start > 0] - 1] == ord("#")
     tagged |= np.concatenate([[False], tagged[:-1] & (data[np.minimum(end[:-1], len(data) - 1)] == ord("_")) & (start[1:] == end[:-1] + 1)])
@@ -174,14 +206,24 @@ def shares(data: np.ndarray, offsets: np.ndarray) -> list[tuple[float, float]]:
     add = lambda x: np.add.reduceat(x.astype(np.int64), fresh)
     marks = np.concatenate([[0], np.cumsum(_MARKS[data], dtype=np.int64)])
     punctuation = marks[stop] - marks[start[fresh]]
-    stuffed = (add(is_function) <= FUNCTION * size) & (punctuation <= PUNCTUATION * size) & ((add(again) >= RECURRING * size) | (add(tagged) >= TAGS * size))
+    inside = lambda x: (c := np.concatenate([[0], np.cumsum(x, dtype=np.int64)]))[stop] - c[start[fresh]]
+    digit = _DIGIT[data]
+    word = _TERM[data] & ~digit
+    alone = digit & ~np.append(False, digit[:-1]) & ~np.append(False, word[:-1])  # starts of numbers
+    numbers, fields = inside(alone | (data == ord("\t"))), inside(_FIELD[data])
+    mixed = (add(again) >= RECURRING * size) | (add(tagged) >= TAGS * size)
+    wide = (add(far) >= RECURRING * size) & (numbers <= NUMBERS * size)
+    offered = (add(is_trade) >= OFFERS * size) & (fields <= FIELDS * size)
+    stuffed = (add(is_function) <= FUNCTION * size) & (punctuation <= PUNCTUATION * size) & (mixed | wide | offered)
     span = np.bincount(owner, weights=np.where(stuffed, stop - start[fresh], 0), minlength=n)
     length = np.diff(offsets)
-    in_stuffed = np.repeat(stuffed, size)
+    in_stuffed, is_wide = np.repeat(stuffed, size), np.repeat(stuffed & ~mixed & ~offered, size)
+    sure = tagged | np.repeat(offered & ~mixed, size)
     for d in np.flatnonzero((span > 0) & (many >= LEAST)):
         s = slice(first[d], first[d + 1])
         part = h[s][in_stuffed[s]]
-        out[d] = (span[d] / max(1, length[d]), autocorrelation(part) if np.mean(tagged[s][in_stuffed[s]]) < TAGS else 1.0)
+        over = int(lag[d]) if is_wide[s].any() else LAG
+        out[d] = (span[d] / max(1, length[d]), autocorrelation(part, over) * over / LAG if np.mean(sure[s][in_stuffed[s]]) < TAGS else 1.0)
     return out
 
 

@@ -257,3 +257,26 @@ def test_recurrence_and_autocorrelation():
 
 def test_disguises_are_undone():
     assert stuffing.undisguised("c.h.e.a.p s​h​o​e​s b3st 2024 v1.2") == "cheap shoes best 2024 vi.2"
+
+
+def _flagged(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts.values())), "doc_id long, text string")
+    names = list(texts)
+    return {names[r["doc_id"]] for r in stuffing.stuffed(df).collect()}
+
+
+def test_stuffing_of_many_keywords_is_found(spark):
+    rng = random.Random(13)
+    words = sorted({"".join(rng.choice("abcdefghijklmnoprstuvz") for _ in range(rng.randint(5, 9))) for _ in range(1500)})
+    rng.shuffle(words)
+    trade = ["cheap {} {}", "buy {} {} online", "{} {} sale", "discount {} {}", "{} {} best price"]
+    stuffed = {f"mix of {n}": " ".join(rng.choice(words[:n]) for _ in range(10 * n)) for n in (60, 80, 120, 300)}
+    stuffed |= {f"cycle of {n}": " ".join(words[:n] * 6) for n in (49, 70, 200)}
+    stuffed["offers"] = ", ".join(rng.choice(trade).format(a, b) for a, b in zip(words[:200], words[200:400]))
+    column = [rng.choice(words[:30]) for _ in range(900)]
+    plain = {
+        "words": "\n".join(words), "twice": " ".join(words[:500]), "sorted": "\n".join(sorted(words)),
+        "table": "\n".join(f"{rng.choice(words[:100])}\t{rng.randint(1, 9999)}\t{rng.choice(words[100:200])}\t{a}" for a in column),
+        "messages": "{\n" + "\n".join(f'  "{a}": "buy {b} {c}",' for a, b, c in zip(words[:90], words[90:180], words[180:270])) + "\n}",
+    }
+    assert _flagged(spark, {**stuffed, **plain}) == set(stuffed)
