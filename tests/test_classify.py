@@ -31,6 +31,29 @@ def test_perfect_reads_score_by_their_length(spark):
     assert exact.classify(reads, refs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shard_letters", [150, 600, 10**6])
+def test_references_beyond_one_index_give_the_same_rows(spark, monkeypatch, shard_letters):
+    rng = random.Random(7)
+    shared = [_dna(rng, n) for n in (30, 60, 90)]
+    texts = [_dna(rng, rng.randint(0, 120)) + rng.choice(shared) + rng.choice(["", "N", "acgt"]) + _dna(rng, rng.randint(0, 120)) + rng.choice(shared) for _ in range(30)]
+    refs = spark.createDataFrame([*[(100 + i, i % 7 if i % 9 else None, t) for i, t in enumerate([*texts, "", "AC", texts[0] + shared[1]])], (900, 1, None)], "ref_id long, tid long, bases string")
+    reads = []
+    for i in range(150):
+        t = rng.choice(texts)
+        at = rng.randint(0, max(0, len(t) - 40))
+        r = list(t[at : at + rng.randint(12, 100)])
+        for _ in range(rng.randint(0, 2)):
+            r[rng.randrange(len(r))] = rng.choice("ACGTN")
+        r = "".join(r)
+        reads.append((i, r if rng.random() < 0.5 else r[::-1].translate(str.maketrans("ACGT", "TGCA")), rng.choice([None, _dna(rng, 50), rng.choice(texts)[:60]])))
+    reads = spark.createDataFrame(reads, "read_id long, seq string, seq2 string")
+    want = sorted(exact.classify(reads, refs, exclude=[3]).collect(), key=lambda r: r[:2])
+    monkeypatch.setattr(exact, "MOST_LETTERS", 1)
+    monkeypatch.setattr(exact, "SHARD_LETTERS", shard_letters)
+    got = sorted(exact.classify(reads, refs, exclude=[3]).collect(), key=lambda r: r[:2])
+    assert len(want) > 100 and got == want
+
+
 def test_longest_match_equals_brute_force():
     rng = random.Random(2)
     texts = ["".join(rng.choice("AC") for _ in range(rng.randint(1, 80))) for _ in range(6)]
