@@ -2,11 +2,14 @@
 
 Reads are first reduced to classes (an aggregate whose size follows the number of distinct taxon sets, not of reads).
 Up to ``MOST_ROWS`` class rows the iteration runs on the driver in NumPy; beyond that each step is a DataFrame
-aggregate that is written out, and every tenth is compared with the one before.
+aggregate that is written out. Both take the same extrapolated steps to the same tolerance; a result that ends before it
+is reached comes with a warning.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -74,10 +77,28 @@ def solve(cls: np.ndarray, n: np.ndarray, leaf: np.ndarray, size: np.ndarray) ->
         if np.abs(new - p).sum() < TOLERANCE:
             return new, i
         p = new
+    _open_end(STEPS)
     return p, STEPS
 
 
-def abundances(rows: DataFrame, lengths: DataFrame, steps_beyond: int = 200) -> DataFrame:
+def _open_end(steps: int) -> None:
+    warnings.warn(f"abundances did not converge to {TOLERANCE} in {steps} steps", RuntimeWarning, stacklevel=3)
+
+
+def extrapolated(p: DataFrame, p1: DataFrame, p2: DataFrame) -> DataFrame:
+    """The start of the third step of a round, as ``solve`` takes it: p, p1 and p2 carried on along their curve. (leaf, p)"""
+    named = lambda x, c: x.select("leaf", F.col("p").alias(c))
+    j = named(p, "a").join(named(p1, "b"), "leaf", "left").join(named(p2, "c"), "leaf", "left").na.fill(0.0, ["b", "c"])
+    r, v = F.col("b") - F.col("a"), F.col("c") - 2 * F.col("b") + F.col("a")
+    rr, vv = j.agg(F.sum(r * r), F.sum(v * v)).first()
+    if not vv:
+        return p2
+    g = -float(np.sqrt(rr / vv))
+    ahead = j.select("leaf", F.greatest(F.lit(0.0), F.col("a") - 2 * g * r + g * g * v).alias("p"))
+    return ahead if ahead.agg(F.sum("p")).first()[0] > 0 else p2
+
+
+def abundances(rows: DataFrame, lengths: DataFrame, steps_beyond: int = STEPS) -> DataFrame:
     """(tid, abundance, read_share): normalised by genome length, and not."""
     rows = cut_lineage(rows)
     n = rows.count()
@@ -95,14 +116,17 @@ def abundances(rows: DataFrame, lengths: DataFrame, steps_beyond: int = 200) ->
         reads = p * size / (p * size).sum()
         return spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(leaves, p, reads)], "tid long, abundance double, read_share double")
     p = cut_lineage(start(rows, lengths))
-    for i in range(1, steps_beyond + 1):
-        new = cut_lineage(em_step(rows, p, lengths))  # each step reads the last one several times
-        if i % 10 == 0:
-            gap = new.join(p.withColumnRenamed("p", "q"), "leaf").agg(F.sum(F.abs(F.col("p") - F.col("q")))).first()[0]
-            if gap is not None and gap < TOLERANCE:
-                p = new
-                break
+    for _ in range(steps_beyond):
+        p1 = cut_lineage(em_step(rows, p, lengths))  # each step reads the last one several times
+        p2 = cut_lineage(em_step(rows, p1, lengths))
+        ahead = extrapolated(p, p1, p2)
+        new = p2 if ahead is p2 else cut_lineage(em_step(rows, ahead, lengths))
+        gap = new.join(p.withColumnRenamed("p", "q"), "leaf", "full").agg(F.sum(F.abs(F.coalesce("p", F.lit(0.0)) - F.coalesce("q", F.lit(0.0))))).first()[0]
         p = new
+        if gap < TOLERANCE:
+            break
+    else:
+        _open_end(steps_beyond)
     w = p.join(lengths, "leaf", "left").withColumn("r", F.col("p") * F.coalesce(F.col("size").cast("double"), F.lit(NO_LENGTH)))
     whole = w.agg(F.sum("r").alias("w"))
     return w.join(F.broadcast(whole)).select(F.col("leaf").alias("tid"), F.col("p").alias("abundance"), (F.col("r") / F.col("w")).alias("read_share"))

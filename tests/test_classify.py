@@ -111,6 +111,18 @@ def test_abundance_solver_and_distributed_steps_agree(spark, monkeypatch):
     assert abundance.abundances(rows.limit(0), lengths).count() == 0
 
 
+def test_distributed_abundance_converges_where_most_reads_are_shared(spark, monkeypatch):
+    """Plain steps need some 30,000 rounds here; the limit is 0.2 and 0.8."""
+    rows = spark.createDataFrame([(1, 10, 0), (2, 40, 1), (3, 100_000, 0), (3, 100_000, 1)], "class long, n long, leaf long").coalesce(1)
+    lengths = spark.createDataFrame([(0, 1000), (1, 1000)], "leaf long, size long").coalesce(1)
+    near = {r["tid"]: r["abundance"] for r in abundance.abundances(rows, lengths).collect()}
+    monkeypatch.setattr(abundance, "MOST_ROWS", 1)
+    far = {r["tid"]: r["abundance"] for r in abundance.abundances(rows, lengths).collect()}
+    assert all(abs(far[i] - near[i]) < 1e-6 and abs(far[i] - x) < 1e-4 for i, x in enumerate((0.2, 0.8)))
+    with pytest.warns(RuntimeWarning, match="did not converge"):
+        abundance.abundances(rows, lengths, steps_beyond=1)
+
+
 def test_common_ancestors_and_unknown_taxa(spark):
     parent = {1: 1, 2: 1, 3: 2, 4: 2, 5: 1, 6: 3}
     nodes = spark.createDataFrame([(t, t, p, "no rank", False) for t, p in parent.items()], "line_no long, tid long, parent_tid long, tax_rank string, leaf boolean")
