@@ -19,6 +19,10 @@ repeat nor are tagged, linked or offered can't be told from a word list and are
 tags are none, and disguises (zero-width characters, letters set apart by dots or hyphens, digits for letters) are undone
 first.
 
+Lines that hold nothing but bare links, or links titled with a few words none of which is a function word, are stuffing
+by themselves where there are at least ``LINKS`` links and, before links are reduced, ``LEAST`` terms: bare hosts and
+numbered paths leave no words to recur. Links in quotes or with other words beside them are no such lines.
+
 Each document is worked on by itself and whole. Defined results: null ids and texts are never cases; texts of fewer than
 ``LEAST`` terms are none; repeated rows give their id once; an empty table gives an empty result.
 """
@@ -47,6 +51,8 @@ REACH = 3
 NUMBERS = 0.1
 OFFERS = 0.12
 FIELDS = 0.1
+LINKS = 6
+TITLE = 6
 LEAST = 24
 
 #: Words that hold sentences together, in the languages of the corpus.
@@ -76,6 +82,11 @@ _FIELD[list(b"\"'`:\t")] = True
 _LINK = re.compile(rb"https?://[^\s\"'<>()\[\]]*")
 _TAG = re.compile(rb"</?[a-z][a-z0-9]*|[a-z-]+=(?=\")|/?>")
 _MD_LINK = re.compile(rb"\[([^\]\n]*)\]\((https?://[^)\s]*)\)")
+_ANCHOR = re.compile(rb"<a\b[^>]*href=[\"']?https?://[^>\"']*[\"']?[^>]*>([^<]*)</a>")
+_BARE = re.compile(rb"(?<![\w\"'=`(\[\x80-\xff])<?https?://[^\s\"'<>()\[\]`]+>?")
+_LIST_TAG = re.compile(rb"</?(?:ul|ol|li|p|br|div|td|tr|nav|h[1-6])\b[^>]*>")
+_BULLET = re.compile(rb"[\s\-*+#/|>]*(?:\d+[.)])?(?:[\s\-*+#/|,;.>]|\xe2\x80[\xa2\xa3]|\xc2\xb7)*")
+_WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 _HIDDEN = re.compile("[​-‏⁠﻿­]")
 _APART = re.compile(r"(?<![^\W_])(?:[^\W_][.\-]){2,}[^\W_](?![^\W_])")
 _MIXED = re.compile(r"[^\W_]*[0-9][^\W_]*")
@@ -115,6 +126,39 @@ def prepared(raw: bytes) -> bytes:
     return raw
 
 
+def link_lines(raw: bytes) -> tuple[int, bytes]:
+    """Bytes of the lines of a lower-cased text that are nothing but links, and the rest of the text."""
+    known, size, links, words, rest = _function_bytes(), 0, 0, 0, []
+    for line in raw.split(b"\n"):
+        if b"://" in line:
+            titles: list[bytes] = []
+            left = _ANCHOR.sub(lambda m: titles.append(m[1]) or b" ", line)
+            left, bare = _BARE.subn(b" ", _MD_LINK.sub(lambda m: titles.append(m[1]) or b" ", left))
+            n = len(titles) + bare
+            title = _WORD.findall(b" ".join(titles))
+            if n and len(title) <= TITLE * n and known.isdisjoint(title) and _BULLET.fullmatch(_LIST_TAG.sub(b" ", left)):
+                size, links, words = size + len(line) + 1, links + n, words + len(_WORD.findall(line))
+                continue
+        rest.append(line)
+    return (min(size, len(raw)), b"\n".join(rest)) if links >= LINKS and words >= LEAST else (0, raw)
+
+
+@cache
+def _function_bytes() -> frozenset[bytes]:
+    return frozenset(w.encode() for w in FUNCTION_WORDS)
+
+
+def with_links(raw: bytes, found: tuple[float, float]) -> tuple[float, float]:
+    """What ``shares`` found for a lower-cased text, or more if lines of links are counted besides the rest."""
+    size, rest = link_lines(raw) if raw.count(b"://") >= LINKS else (0, raw)
+    if not size:
+        return found
+    data = np.frombuffer(prepared(rest), np.uint8)
+    share, correlation = shares(data, np.array([0, len(data)]))[0]
+    other = share * len(rest)
+    return max(found, ((size + other) / len(raw), 1.0 if size >= other else correlation))
+
+
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Start, end, hash and text number of the terms: runs of letters and digits that are not all digits."""
     if not len(data):
@@ -234,9 +278,10 @@ def scores(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
-            texts = pa.array([prepared(t) for t in b.column(1).cast(pa.large_binary()).to_pylist()], pa.large_binary())
+            raw = b.column(1).cast(pa.large_binary()).to_pylist()
+            texts = pa.array([prepared(t) for t in raw], pa.large_binary())
             for a, data, offsets in _buffers(texts):
-                s = shares(data, offsets)
+                s = [with_links(t, x) for t, x in zip(raw[a:], shares(data, offsets))]
                 hit = [i for i, x in enumerate(s) if x[0] > 0]
                 if hit:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a:][hit]), pa.array([s[i][0] for i in hit]), pa.array([s[i][1] for i in hit])], names=["doc_id", "share", "correlation"])

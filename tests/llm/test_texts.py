@@ -280,3 +280,22 @@ def test_stuffing_of_many_keywords_is_found(spark):
         "messages": "{\n" + "\n".join(f'  "{a}": "buy {b} {c}",' for a, b, c in zip(words[:90], words[90:180], words[180:270])) + "\n}",
     }
     assert _flagged(spark, {**stuffed, **plain}) == set(stuffed)
+
+
+def test_lists_of_bare_links_are_found(spark):
+    rng = random.Random(14)
+    names = sorted({"".join(rng.choice("abcdefghijklmnoprstuvz") for _ in range(rng.randint(5, 9))) for _ in range(300)})
+    rng.shuffle(names)
+    prose = "The reader walks over the list and drops each entry that is older than its own limit, because a late entry would hold the lock.\n"
+    hosts = [f"https://{n}.example" for n in names]
+    stuffed = {
+        "hosts": "\n".join(hosts[:60]), "few": "\n".join(hosts[:8]), "numbered": "\n".join(f"{i}. https://x.example/{rng.randint(1, 99999)}" for i in range(60)), "row": " ".join(hosts[:50]),
+        "titles": "\n".join(f"* [{a} {b}]({h})" for a, b, h in zip(names, names[100:], hosts[:60])), "below prose": prose * 3 + "\n".join(f"- {h}" for h in hosts[:60]),
+        "html": "<ul>\n" + "\n".join(f'<li><a href="{h}/">{a}</a></li>' for a, h in zip(names[100:160], hosts)) + "\n</ul>",
+    }
+    plain = {
+        "quoted": "URLS = [\n" + "\n".join(f'    "{h}",' for h in hosts[:60]) + "\n]", "explained": "\n".join(f"* [{a}]({h}) - keeps the {b} of a {a}" for a, b, h in zip(names, names[100:], hosts[:60])),
+        "lock": "\n".join(f'{a}@^4.1:\n  resolved "{h}/{a}-6.tgz#{rng.getrandbits(64):x}"\n  integrity {rng.getrandbits(90):x}/{b}=' for a, b, h in zip(names, names[100:], hosts[:60])),
+        "config": "\n".join(f"{a}: {h}" for a, h in zip(names, hosts[:60])), "references": prose * 20 + "\n".join(hosts[:20]), "one": hosts[0],
+    }
+    assert _flagged(spark, {**stuffed, **plain}) == set(stuffed)
