@@ -96,6 +96,14 @@ def kmer_encode(spark: SparkSession, d: str) -> DataFrame:
     return k.select("genome_id", F.col("k").alias("kmer"), dna.kmer_code(F.col("k")).alias("code"))
 
 
+def kmer_encode_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whole k-mers in two packed words, of up to 31 letters and of the rest; both null if any letter is not A, C, G or T."""
+    k = table(spark, d, "local_kmer").select("genome_id", "kmer").distinct()
+    good = F.upper("kmer").rlike("^[ACGT]{1,62}$")
+    word = lambda start: F.when(good, dna.kmer_code(F.substring("kmer", start, 31)))
+    return k.select("genome_id", "kmer", word(1).alias("code_1"), F.when(F.length("kmer") > 31, word(32)).alias("code_2"))
+
+
 def read_id_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ac_to_pos").select("pos_id", dna.header_uid(F.col("header")).alias("uid"), dna.read_name(F.concat(F.regexp_replace("header", "^>", ""), F.lit("/1"))).alias("name"))
 
@@ -469,7 +477,7 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    seed_join, seed_runs, hit_score, occurrence_cap, exact_classification, revcomp, n_filter, trim_reads, kmer_encode, read_id_clean, phred, packed_taxids, rank_names,
+    seed_join, seed_runs, hit_score, occurrence_cap, exact_classification, revcomp, n_filter, trim_reads, kmer_encode, kmer_encode_whole, read_id_clean, phred, packed_taxids, rank_names,
     skip_upto, sample_reads, continuous_windows, fasta_fragments, inspect_fasta, inspect_summary, inspect_tree, conversion_table, genome_sizes, kmer_spectrum,
     distinct_kmers_exact, distinct_kmers_approx, taxon_kmers, merged_kmers_approx, species_groups, classification_rank, score_filter, one_strand, genome_sim_pairs, nonshared_regions, sequences_by_taxon, finalised_entries, best_ties, topk_assign, all_assign, no_traverse,
     random_assign, second_best, num_matches, exclude_taxa, host_taxa, bounded_rollup, seqid_display, classified_split, output_table, tax_closure, tax_path, genus_of, pruned_tree,

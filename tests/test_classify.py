@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from taxonflow.operators import abundance, assign, exact, hierarchy, redundancy, report, seeds, taxonomy
+from taxonflow.plans import catalog
 
 
 def _dna(rng, n):
@@ -167,3 +168,15 @@ def test_correlations(spark, n):
         s = sum(np.sign(a[i] - a[j]) * np.sign(b[i] - b[j]) for i in range(n) for j in range(i))
         ta, tb = (sum(v[i] != v[j] for i in range(n) for j in range(i)) for v in (a, b))
         assert abs(t - s / np.sqrt(ta * tb)) < 1e-9
+
+
+def test_whole_kmers_are_encoded(spark, tmp_path):
+    """Letters behind the 31st tell k-mers apart and make them none."""
+    rng = random.Random(15)
+    k = _dna(rng, 53)
+    rows = [(1, k), (1, k), (1, k[:40] + ("A" if k[40] != "A" else "C") + k[41:]), (1, k[:52] + "N"), (1, k.lower()), (2, k[:31]), (2, k[:20]), (2, None), (2, "")]
+    spark.createDataFrame(rows, "genome_id long, kmer string").write.parquet(f"{tmp_path}/local_kmer.parquet")
+    number = lambda s: int("".join(str("ACGT".index(c)) for c in s.upper()), 4)
+    want = {(g, t, *((number(t[:31]), number(t[31:]) if len(t) > 31 else None) if t and set(t.upper()) <= set("ACGT") else (None, None))) for g, t in rows}
+    got = [tuple(r) for r in catalog.kmer_encode_whole(spark, str(tmp_path)).collect()]
+    assert set(got) == want and len(got) == len(want)
