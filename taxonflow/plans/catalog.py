@@ -1,12 +1,16 @@
 """Queries of the classification operators over whole tables, and the SQL they are held against.
 
-References are the records of genome_seq; reads are all 100-letter windows of those records. Hits, per-read entries and
+References are the records of genome_seq; reads are all 100-letter windows of those records, and where no SQL fixes them
+so, in exact_classification and the queries named ..._whole, the rest of each record too. Hits, per-read entries and
 assignments come from hit_count, the tree from taxonomy_node, counters from read_counts, accessions from ac_to_pos and
 ac_to_taxid.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +21,7 @@ from taxonflow.session import cut_lineage, table
 from taxonflow.sources import readers, sinks
 
 READ_LENGTH = 100
+WINDOWS = 2**25  # more than a text of 2^31 letters, the longest there is, has windows
 EXCLUDED, HOST = 9656, 2778  # taxa the exclusion and host queries are run with
 
 
@@ -35,6 +40,14 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
     return cut.select((F.col("ref_id") * 1000 + F.col("w")).alias("read_id"), "ref_id", F.substring(F.col("bases"), F.col("w") * READ_LENGTH + 1, F.lit(READ_LENGTH)).alias("seq"))
 
 
+def whole_reads(spark: SparkSession, d: str) -> DataFrame:
+    """(read_id, ref_id, seq): as ``reads``, but a rest and a shorter record are reads too, and no two reads share an id."""
+    r = refs(spark, d).where(F.length("bases") > 0)
+    n = F.ceil(F.length("bases") / READ_LENGTH).cast("int")
+    cut = r.withColumn("w", F.explode(F.sequence(F.lit(0), n - 1)))
+    return cut.select((F.col("ref_id") * WINDOWS + F.col("w")).alias("read_id"), "ref_id", F.substring(F.col("bases"), F.col("w") * READ_LENGTH + 1, F.lit(READ_LENGTH)).alias("seq"))
+
+
 def entries(spark: SparkSession, d: str) -> DataFrame:
     return assign.finalised(assign.hits(table(spark, d, "hit_count")))
 
@@ -54,41 +67,41 @@ def tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 # --- sequences and functions
 
 
-def seed_join(spark: SparkSession, d: str) -> DataFrame:
-    m = seeds.seed_matches(seeds.read_kmers(reads(spark, d), "read_id", "seq"), seeds.index(refs(spark, d), "ref_id", "bases"))
+def seed_join(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
+    m = seeds.seed_matches(seeds.read_kmers(of(spark, d), "read_id", "seq"), seeds.index(refs(spark, d), "ref_id", "bases"))
     return m.groupBy("read_id", "ref_id", "fw").agg(F.count(F.lit(1)).alias("n_seeds"))
 
 
-def _runs(spark: SparkSession, d: str, cap: int | None = None) -> DataFrame:
-    return seeds.maximal_matches(seeds.seed_matches(seeds.read_kmers(reads(spark, d), "read_id", "seq"), seeds.index(refs(spark, d), "ref_id", "bases", cap=cap)))
+def _runs(spark: SparkSession, d: str, of: Callable, cap: int | None = None) -> DataFrame:
+    return seeds.maximal_matches(seeds.seed_matches(seeds.read_kmers(of(spark, d), "read_id", "seq"), seeds.index(refs(spark, d), "ref_id", "bases", cap=cap)))
 
 
-def seed_runs(spark: SparkSession, d: str) -> DataFrame:
-    return _runs(spark, d)
+def seed_runs(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
+    return _runs(spark, d, of)
 
 
-def hit_score(spark: SparkSession, d: str) -> DataFrame:
-    return seeds.reference_scores(_runs(spark, d))
+def hit_score(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
+    return seeds.reference_scores(_runs(spark, d, of))
 
 
-def occurrence_cap(spark: SparkSession, d: str) -> DataFrame:
-    return seeds.reference_scores(_runs(spark, d, cap=2))
+def occurrence_cap(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
+    return seeds.reference_scores(_runs(spark, d, of, cap=2))
 
 
 def exact_classification(spark: SparkSession, d: str) -> DataFrame:
-    return exact.classify(reads(spark, d), refs(spark, d))
+    return exact.classify(whole_reads(spark, d), refs(spark, d))
 
 
 def revcomp(spark: SparkSession, d: str) -> DataFrame:
     return refs(spark, d).select("ref_id", dna.reverse_complement(dna.cleaned(F.col("bases"))).alias("rc"))
 
 
-def n_filter(spark: SparkSession, d: str) -> DataFrame:
-    return reads(spark, d).select("read_id", dna.n_count(F.col("seq")).alias("n_ambiguous"), dna.passes_n_filter(F.col("seq")).alias("passes"))
+def n_filter(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
+    return of(spark, d).select("read_id", dna.n_count(F.col("seq")).alias("n_ambiguous"), dna.passes_n_filter(F.col("seq")).alias("passes"))
 
 
-def trim_reads(spark: SparkSession, d: str) -> DataFrame:
-    return reads(spark, d).select("read_id", dna.trimmed(F.col("seq"), 7, 5).alias("seq"))
+def trim_reads(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
+    return of(spark, d).select("read_id", dna.trimmed(F.col("seq"), 7, 5).alias("seq"))
 
 
 def kmer_encode(spark: SparkSession, d: str) -> DataFrame:
@@ -271,8 +284,8 @@ def score_filter(spark: SparkSession, d: str) -> DataFrame:
     return report.filtered(chosen(spark, d), 5000, 60).select("sample_id", "read_no", "tid", "score")
 
 
-def one_strand(spark: SparkSession, d: str) -> DataFrame:
-    m = seeds.seed_matches(seeds.read_kmers(reads(spark, d), "read_id", "seq", strands=("rc",)), seeds.index(refs(spark, d), "ref_id", "bases"))
+def one_strand(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
+    m = seeds.seed_matches(seeds.read_kmers(of(spark, d), "read_id", "seq", strands=("rc",)), seeds.index(refs(spark, d), "ref_id", "bases"))
     return m.groupBy("read_id", "ref_id").agg(F.count(F.lit(1)).alias("n_seeds"))
 
 
@@ -486,8 +499,12 @@ QUERIES = [
 ]
 
 
+#: Queries whose SQL leaves out the rest of each record; over whole records they are named ..._whole.
+WHOLE = [seed_join, seed_runs, hit_score, occurrence_cap, one_strand, n_filter, trim_reads]
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in QUERIES} | {f"{f.__name__}_whole": partial(f, of=whole_reads) for f in WHOLE}
 
 
 # --- SQL
