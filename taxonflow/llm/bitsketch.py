@@ -45,6 +45,12 @@ def merge(sketch: DataFrame, groups: list[str]) -> DataFrame:
     return sketch.groupBy(*groups, "_row").agg(F.bit_or("_bits").alias("_bits"))
 
 
+def united(sketch: DataFrame, member: str, sets: DataFrame) -> DataFrame:
+    """set_id, _row, _bits: union over the values of the group column ``member`` that each set of ``sets`` (set_id, member) names."""
+    of = sets.select("set_id", F.col("member").alias("_member")).where("_member is not null").distinct()
+    return merge(sketch.join(of, sketch[member] == of["_member"]), ["set_id"])
+
+
 def maximum_likelihood(seen: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Count and standard error from (k, RANKS) numbers of rows that have each bit: Newton steps on log n."""
     log_m = int(m).bit_length() - 1

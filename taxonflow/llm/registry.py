@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taxonflow.llm import bitsketch, leakage, overlap, packing, spans, stuffing, topn
-from taxonflow.session import table
+from taxonflow.session import cut_lineage, table
 
 
 def _valid_kmer():
@@ -53,15 +55,29 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return est.where("n_distinct >= 200 and seen_day is not null and tax_id is not null").select(F.date_format("seen_day", "yyyy-MM-dd").alias("seen_day"), "tax_id")
 
 
-def p7_combinations(spark: SparkSession, d: str) -> DataFrame:
-    """Counts per day, per taxon, per sample, per day and taxon, and over everything, all merged from one stored sketch."""
-    base = _kmer_sketch(spark, d)
+def _named_sets(base: DataFrame, member: str, name: str, n: int) -> DataFrame:
+    """(set_id, member): the values of a group column in n sets, by their remainder."""
+    return base.select(F.col(member).alias("member")).where("member is not null").distinct().select(F.concat(F.lit(name + " "), (F.col("member") % n).cast("string")).alias("set_id"), "member")
+
+
+def p7_combinations(spark: SparkSession, d: str, taxa: DataFrame | None = None, samples: DataFrame | None = None) -> DataFrame:
+    """Counts per day, per taxon, per sample, per each combination of them, over everything, and over named sets of taxa and
+    of samples (set_id, member), all merged from one stored sketch. The name of a set stands in the column of its members."""
+    base = cut_lineage(_kmer_sketch(spark, d))
+    keys = ("seen_day", "tax_id", "sample_id")
+    sets = {"tax_id": _named_sets(base, "tax_id", "taxa", 8) if taxa is None else taxa, "sample_id": _named_sets(base, "sample_id", "samples", 4) if samples is None else samples}
+
+    def shown(sketch: DataFrame, groups: list[str], grouping: str) -> DataFrame:
+        est = bitsketch.estimate(sketch, groups)
+        cols = [F.col(c).cast("string").alias(c) if c in groups else F.lit(None).cast("string").alias(c) for c in keys]
+        return est.select(F.lit(grouping).alias("grouping"), *cols, "n_distinct", "std_error", "lower", "upper")
+
     out = None
-    for groups in (["seen_day"], ["tax_id"], ["sample_id"], ["seen_day", "tax_id"], ["tax_id", "sample_id"], []):
-        est = bitsketch.estimate(bitsketch.merge(base, groups), groups)
-        cols = [F.col(c).cast("string").alias(c) if c in groups else F.lit(None).cast("string").alias(c) for c in ("seen_day", "tax_id", "sample_id")]
-        part = est.select(F.lit("+".join(groups) or "all").alias("grouping"), *cols, "n_distinct", "std_error", "lower", "upper")
+    for groups in ([list(g) for n in (1, 2, 3) for g in combinations(keys, n)] + [[]]):
+        part = shown(bitsketch.merge(base, groups), groups, "+".join(groups) or "all")
         out = part if out is None else out.unionByName(part)
+    for member, named in sets.items():
+        out = out.unionByName(shown(bitsketch.united(base, member, named).withColumnRenamed("set_id", member), [member], f"{member} set"))
     return out
 
 

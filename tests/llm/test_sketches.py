@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taxonflow.llm import bitsketch, overlap, topn
+from taxonflow.llm import bitsketch, overlap, registry, topn
 
 
 def _sets(seed=1):
@@ -102,3 +102,26 @@ def test_top_n_equals_brute_force(spark, salts):
     want = {k: dict(enumerate(sorted(d.items(), key=lambda x: (-x[1], x[0]))[:5], 1)) for k, d in best.items()}
     assert got == want
     assert topn.top_n(df.limit(0), ["g", "h"], "item", "score", 5).count() == 0
+
+
+def test_all_combinations_and_named_sets_are_counted(spark, tmp_path):
+    rng = random.Random(9)
+    rows = [(f"2024-01-0{rng.randint(1, 3)}", rng.choice([1, 2, 3, None]), rng.choice([5, 6, 7]), rng.randint(0, 60)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "seen_day string, tax_id long, sample_id long, kmer_hash long").withColumn("seen_day", F.to_date("seen_day"))
+    df.write.parquet(f"{tmp_path}/species_kmer.parquet")
+    taxa = spark.createDataFrame([("low", 1), ("low", 2), ("low", 2), ("both", 2), ("both", 3), ("none", 99)], "set_id string, member long")
+    samples = spark.createDataFrame([("ends", 5), ("ends", 7)], "set_id string, member long")
+    got = {tuple(r)[:4]: r["n_distinct"] for r in registry.p7_combinations(spark, str(tmp_path), taxa, samples).collect()}
+    want = {}
+    for day, t, s, k in rows:
+        text = lambda x: None if x is None else str(x)
+        for n in range(4):
+            for g in itertools.combinations(range(3), n):
+                key = ("+".join(("seen_day", "tax_id", "sample_id")[i] for i in g) or "all", *(text((day, t, s)[i]) if i in g else None for i in range(3)))
+                want.setdefault(key, set()).add(k)
+        for name, members in (("low", (1, 2)), ("both", (2, 3))):
+            if t in members:
+                want.setdefault(("tax_id set", None, name, None), set()).add(k)
+        if s in (5, 7):
+            want.setdefault(("sample_id set", None, None, "ends"), set()).add(k)
+    assert set(got) == set(want) and all(abs(got[key] - len(x)) < 2 for key, x in want.items())
