@@ -23,6 +23,16 @@ def taxon_report(counts: DataFrame, lines: DataFrame, sizes: DataFrame, abundanc
     )
 
 
+def with_sequence_id(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """``rows`` (tid, uid) with seqID: the sequence's name for leaves and taxa outside the tree, the rank for others and
+    for a leaf without sequence, 'unclassified' for taxon 0."""
+    known = lines.select(F.col("tid").alias("_t"), F.col("tax_rank").alias("_rank"), F.col("leaf").alias("_leaf"))
+    j = rows.join(known, F.col("tid") == F.col("_t"), "left")
+    rank = F.coalesce("_rank", F.lit("no rank"))
+    shown = F.when(F.col("tid") == 0, "unclassified").when(F.coalesce("_leaf", F.lit(True)), F.coalesce("uid", rank)).otherwise(rank)
+    return j.withColumn("seqID", shown).drop("_t", "_rank", "_leaf")
+
+
 def clade_report(clades: DataFrame, lines: DataFrame, resolved: DataFrame, show_zeros: bool = False) -> DataFrame:
     """pct, clade, own, rank_code, tid, label, sort_key: the tree report in rows; order by sort_key prints it depth first,
     larger clades first and smaller ids first among equal ones."""

@@ -16,10 +16,15 @@ from taxonflow.session import cut_lineage
 ROOT = 1
 
 
+def lines(nodes: DataFrame) -> DataFrame:
+    """The valid line of each taxon, with normalised rank."""
+    return hierarchy.valid_lines(nodes).withColumn("tax_rank", dna.rank_name(F.col("tax_rank")))
+
+
 def tree(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines with normalised rank, resolved hierarchy) of a nodes table; both written once."""
-    lines = cut_lineage(hierarchy.valid_lines(nodes).withColumn("tax_rank", dna.rank_name(F.col("tax_rank"))))
-    return lines, cut_lineage(hierarchy.resolve(hierarchy.links(lines)))
+    known = cut_lineage(lines(nodes))
+    return known, cut_lineage(hierarchy.resolve(hierarchy.links(known)))
 
 
 def closure(resolved: DataFrame) -> DataFrame:

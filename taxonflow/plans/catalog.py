@@ -56,14 +56,19 @@ def best(spark: SparkSession, d: str) -> DataFrame:
     return assign.best_only(entries(spark, d))
 
 
-def chosen(spark: SparkSession, d: str) -> DataFrame:
-    return assign.selected(best(spark, d), 5)
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    return taxonomy.lines(table(spark, d, "taxonomy_node"))
 
 
 def tree(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return taxonomy.tree(table(spark, d, "taxonomy_node"))
 
 
+def chosen(spark: SparkSession, d: str, known: tuple[DataFrame, DataFrame] | None = None, k: int = 5) -> DataFrame:
+    """Assignments: best entries, rolled up the taxonomy to at most k. ``known`` is the tree, if it is there already."""
+    return assign.selected(entries(spark, d), k, taxonomy.canonical_paths(*(known or tree(spark, d))))
+
+
 # --- sequences and functions
 
 
@@ -168,8 +173,7 @@ def inspect_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def inspect_tree(spark: SparkSession, d: str) -> DataFrame:
-    lines, _ = tree(spark, d)
-    return index.tree_text(lines)
+    return index.tree_text(lines(spark, d))
 
 
 def conversion_table(spark: SparkSession, d: str) -> DataFrame:
@@ -202,8 +206,7 @@ def merged_kmers_approx(spark: SparkSession, d: str) -> DataFrame:
 
 
 def species_groups(spark: SparkSession, d: str) -> DataFrame:
-    lines, resolved = tree(spark, d)
-    return redundancy.species_groups(refs(spark, d), taxonomy.promotion(lines, resolved, "species"), most=2000)
+    return redundancy.species_groups(refs(spark, d), taxonomy.promotion(*tree(spark, d), "species"), most=2000)
 
 
 def genome_sim_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -237,11 +240,11 @@ def topk_assign(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_assign(spark: SparkSession, d: str) -> DataFrame:
-    return assign.selected(best(spark, d), None).select("sample_id", "read_no", "tid", "score", "n_matches")
+    return assign.selected(entries(spark, d), None).select("sample_id", "read_no", "tid", "score", "n_matches")
 
 
 def no_traverse(spark: SparkSession, d: str) -> DataFrame:
-    return assign.selected(best(spark, d), 1, traverse=False).select("sample_id", "read_no", "tid", "score", "n_matches")
+    return assign.selected(entries(spark, d), 1, traverse=False).select("sample_id", "read_no", "tid", "score", "n_matches")
 
 
 def random_assign(spark: SparkSession, d: str) -> DataFrame:
@@ -268,11 +271,24 @@ def host_taxa(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bounded_rollup(spark: SparkSession, d: str) -> DataFrame:
-    lines, resolved = tree(spark, d)
-    out = assign.bounded_rollup(best(spark, d), taxonomy.canonical_paths(lines, resolved), 1)
+    """All best entries of a read rolled up to one taxon, or none."""
+    out = assign.bounded_rollup(best(spark, d), taxonomy.canonical_paths(*tree(spark, d)), 1)
     return out.select("sample_id", "read_no", "tid", F.round("hit_len", 3).alias("hit_len"))
 
 
+def rollup_to_two(spark: SparkSession, d: str) -> DataFrame:
+    """Assignments of at most two taxa a read, with the second best score of what is left."""
+    return chosen(spark, d, k=2).select("sample_id", "read_no", "tid", "score", F.round("hit_len", 3).alias("hit_len"), "second", "n_matches", "moved")
+
+
+def host_selection(spark: SparkSession, d: str) -> DataFrame:
+    """Assignments where a host taxon among the best stops the rollup and stays alone, one row a read at most."""
+    known = tree(spark, d)
+    host = taxonomy.descendants_of(known[1], [HOST])
+    a = assign.selected(entries(spark, d), 1, taxonomy.canonical_paths(*known), host, seed=7)
+    return a.select("sample_id", "read_no", "tid", "score", "second", "n_matches")
+
+
 def classification_rank(spark: SparkSession, d: str) -> DataFrame:
     """Best entries when hits are accumulated by genus instead of by taxon."""
     keys = taxonomy.key_at_rank(taxonomy.canonical_paths(*tree(spark, d)), "genus")
@@ -290,13 +306,10 @@ def one_strand(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
 
 
 def seqid_display(spark: SparkSession, d: str) -> DataFrame:
-    """What stands in the sequence column: the accession for leaves and unranked taxa, else the rank."""
-    lines, _ = tree(spark, d)
+    """What stands in the sequence column: the accession for leaves and taxa outside the tree, else the rank."""
     h = assign.hits(table(spark, d, "hit_count")).select("unique_id", "tid").distinct()
-    ac = table(spark, d, "ac_to_pos").select(F.col("pos_id").alias("unique_id"), "ac")
-    j = h.join(lines.select("tid", "tax_rank", "leaf"), "tid", "left").join(ac, "unique_id", "left")
-    shown = F.when(F.coalesce("leaf", F.lit(True)) | (F.col("tax_rank") == "no rank"), F.coalesce("ac", F.lit("unclassified"))).otherwise(F.col("tax_rank"))
-    return j.select("unique_id", "tid", shown.alias("seq_id"))
+    ac = table(spark, d, "ac_to_pos").select(F.col("pos_id").alias("unique_id"), F.col("ac").alias("uid"))
+    return report.with_sequence_id(h.join(ac, "unique_id", "left"), lines(spark, d)).select("unique_id", "tid", F.col("seqID").alias("seq_id"))
 
 
 def classified_split(spark: SparkSession, d: str) -> DataFrame:
@@ -307,16 +320,32 @@ def classified_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def output_table(spark: SparkSession, d: str) -> DataFrame:
-    """The assignment table with its output columns."""
-    a = chosen(spark, d).join(assign.second_best(entries(spark, d)), assign.READ)
-    length = table(spark, d, "hit_count").groupBy(*assign.READ).agg(F.max("query_length").alias("queryLength"))
-    rows = a.join(length, assign.READ).select(
-        F.concat_ws("_", "sample_id", "read_no").alias("readID"), dna.taxid_text(F.col("tid")).alias("seqID"), F.col("tid").alias("taxID"), "score",
+    """The assignment table with its output columns; here a read's entries are its sequences."""
+    known = tree(spark, d)
+    h = assign.hits(table(spark, d, "hit_count"))
+    a = assign.selected(assign.finalised(h, "unique_id", "tid"), 5, taxonomy.canonical_paths(*known))
+    length = h.groupBy(*assign.READ).agg(F.max("query_length").alias("queryLength"))
+    ac = table(spark, d, "ac_to_pos").select(F.col("pos_id").alias("unique_id"), F.col("ac").alias("uid"))
+    named = report.with_sequence_id(a.join(ac, "unique_id", "left"), known[0])
+    rows = named.join(length, assign.READ).select(
+        F.concat_ws("_", "sample_id", "read_no").alias("readID"), "seqID", F.col("tid").alias("taxID"), "score",
         F.col("second").alias("2ndBestScore"), F.round("hit_len", 3).alias("hitLength"), "queryLength", F.col("n_matches").alias("numMatches"),
     )
     return sinks.projected(rows)
 
 
+def finalised_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Entries by sequence instead of taxon."""
+    e = assign.finalised(assign.hits(table(spark, d, "hit_count")), "unique_id", "tid")
+    return e.select("sample_id", "read_no", "unique_id", "tid", "score", F.round("hit_len", 3).alias("hit_len"))
+
+
+def unclassified_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Every read has a row: its assignments, or one of taxon 0."""
+    reads_ = table(spark, d, "hit_count").select("sample_id", "read_no")
+    return assign.unclassified(reads_, chosen(spark, d))
+
+
 # --- taxonomy
 
 
@@ -334,9 +363,8 @@ def genus_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pruned_tree(spark: SparkSession, d: str) -> DataFrame:
-    lines, resolved = tree(spark, d)
     r = table(spark, d, "genome_seq").select("tid")
-    return taxonomy.with_leaf(taxonomy.pruned(lines, resolved, r), r).select("tid", "parent_tid", "leaf")
+    return taxonomy.with_leaf(taxonomy.pruned(*tree(spark, d), r), r).select("tid", "parent_tid", "leaf")
 
 
 def lca_reads(spark: SparkSession, d: str) -> DataFrame:
@@ -344,16 +372,15 @@ def lca_reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def promote_rank(spark: SparkSession, d: str) -> DataFrame:
-    lines, resolved = tree(spark, d)
-    p = taxonomy.promotion(lines, resolved, "genus")
-    rows = chosen(spark, d).join(p, "tid", "left").select(*assign.READ, F.coalesce("promoted", "tid").alias("tid")).distinct()
+    known = tree(spark, d)
+    p = taxonomy.promotion(*known, "genus")
+    rows = chosen(spark, d, known).join(p, "tid", "left").select(*assign.READ, F.coalesce("promoted", "tid").alias("tid")).distinct()
     n = rows.groupBy(*assign.READ).agg(F.count(F.lit(1)).alias("n_matches"))
     return rows.join(n, assign.READ)
 
 
 def mean_genome_size(spark: SparkSession, d: str) -> DataFrame:
-    lines, resolved = tree(spark, d)
-    return taxonomy.mean_sizes(lines, resolved, genome_sizes(spark, d))
+    return taxonomy.mean_sizes(*tree(spark, d), genome_sizes(spark, d))
 
 
 def clade_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -365,13 +392,14 @@ def clade_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def taxon_report(spark: SparkSession, d: str) -> DataFrame:
-    lines, _ = tree(spark, d)
-    r = report.taxon_report(assign.taxon_counts(chosen(spark, d)), lines, genome_sizes(spark, d))
+    known = tree(spark, d)
+    r = report.taxon_report(assign.taxon_counts(chosen(spark, d, known)), known[0], genome_sizes(spark, d))
     return r.drop("abundance")
 
 
 def taxon_weights(spark: SparkSession, d: str) -> DataFrame:
-    return assign.taxon_counts(chosen(spark, d)).select("tid", "n_reads", "n_unique_reads", F.round("weighted_reads", 6).alias("weighted_reads"))
+    c = assign.taxon_counts(chosen(spark, d))
+    return c.select("tid", "n_reads", "n_unique_reads", F.round("weighted_reads", 6).alias("weighted_reads"), "sum_score", F.round("summed_hit_len", 3).alias("summed_hit_len"))
 
 
 def batch_totals(spark: SparkSession, d: str) -> DataFrame:
@@ -387,17 +415,17 @@ def kreport_lca(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kreport_fraction(spark: SparkSession, d: str) -> DataFrame:
-    _, resolved = tree(spark, d)
-    own = chosen(spark, d).where("tid <> 0").groupBy("tid").agg(F.sum(1 / F.col("n_matches")).alias("n"))
-    c = taxonomy.clade_counts(own, resolved)
+    known = tree(spark, d)
+    own = chosen(spark, d, known).where("tid <> 0").groupBy("tid").agg(F.sum(1 / F.col("n_matches")).alias("n"))
+    c = taxonomy.clade_counts(own, known[1])
     return c.select("tid", F.round("clade", 6).alias("clade"), F.round("own", 6).alias("own"))
 
 
 def kreport_text(spark: SparkSession, d: str) -> DataFrame:
-    lines, resolved = tree(spark, d)
-    lca = taxonomy.common_ancestors(best(spark, d), assign.READ, "tid", resolved)
-    clades = taxonomy.clade_counts(lca.groupBy(F.col("lca").alias("tid")).agg(F.count(F.lit(1)).alias("n")), resolved)
-    return report.clade_report(cut_lineage(clades), lines, resolved).select("pct", "clade", "own", "rank_code", "tid", "label")
+    known = tree(spark, d)
+    lca = taxonomy.common_ancestors(best(spark, d), assign.READ, "tid", known[1])
+    clades = taxonomy.clade_counts(lca.groupBy(F.col("lca").alias("tid")).agg(F.count(F.lit(1)).alias("n")), known[1])
+    return report.clade_report(cut_lineage(clades), *known).select("pct", "clade", "own", "rank_code", "tid", "label")
 
 
 def score_report(spark: SparkSession, d: str) -> DataFrame:
@@ -405,15 +433,21 @@ def score_report(spark: SparkSession, d: str) -> DataFrame:
     return r.select("tid", "score", F.round("per_base", 6).alias("per_base"))
 
 
+def _classes(spark: SparkSession, d: str, known: tuple[DataFrame, DataFrame]) -> DataFrame:
+    raw = table(spark, d, "hit_count").where("score is not null")
+    return assign.equivalence_classes(assign.full_matches(chosen(spark, d, known), assign.greatest_scores(raw)))
+
+
 def equiv_classes(spark: SparkSession, d: str) -> DataFrame:
-    c = assign.equivalence_classes(chosen(spark, d))
+    """Taxon sets of the reads that match from end to end."""
+    c = _classes(spark, d, tree(spark, d))
     return c.select(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"), "n")
 
 
 def _em_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    lines, resolved = tree(spark, d)
+    known = tree(spark, d)
     leaves = assign.hits(table(spark, d, "hit_count")).where("tid <> 0").select("tid").distinct()
-    rows = abundance.class_rows(assign.equivalence_classes(chosen(spark, d)), resolved, leaves)
+    rows = abundance.class_rows(_classes(spark, d, known), known[1], leaves)
     return cut_lineage(rows), genome_sizes(spark, d).withColumnRenamed("tid", "leaf")
 
 
@@ -456,8 +490,7 @@ def abundance_ssr(spark: SparkSession, d: str) -> DataFrame:
 
 def _ranked_pairs(spark: SparkSession, d: str) -> DataFrame:
     calc, true = _shares(spark, d)
-    lines, _ = tree(spark, d)
-    j = true.withColumnRenamed("x", "a").join(calc.withColumnRenamed("x", "b"), "tid").join(lines.select("tid", "tax_rank"), "tid")
+    j = true.withColumnRenamed("x", "a").join(calc.withColumnRenamed("x", "b"), "tid").join(lines(spark, d).select("tid", "tax_rank"), "tid")
     return cut_lineage(j.select("tax_rank", "a", "b"))
 
 
@@ -493,7 +526,7 @@ QUERIES = [
     seed_join, seed_runs, hit_score, occurrence_cap, exact_classification, revcomp, n_filter, trim_reads, kmer_encode, kmer_encode_whole, read_id_clean, phred, packed_taxids, rank_names,
     skip_upto, sample_reads, continuous_windows, fasta_fragments, inspect_fasta, inspect_summary, inspect_tree, conversion_table, genome_sizes, kmer_spectrum,
     distinct_kmers_exact, distinct_kmers_approx, taxon_kmers, merged_kmers_approx, species_groups, classification_rank, score_filter, one_strand, genome_sim_pairs, nonshared_regions, sequences_by_taxon, finalised_entries, best_ties, topk_assign, all_assign, no_traverse,
-    random_assign, second_best, num_matches, exclude_taxa, host_taxa, bounded_rollup, seqid_display, classified_split, output_table, tax_closure, tax_path, genus_of, pruned_tree,
+    random_assign, rollup_to_two, host_selection, finalised_sequences, unclassified_rows, second_best, num_matches, exclude_taxa, host_taxa, bounded_rollup, seqid_display, classified_split, output_table, tax_closure, tax_path, genus_of, pruned_tree,
     lca_reads, promote_rank, mean_genome_size, clade_rollup, taxon_report, taxon_weights, batch_totals, kreport_lca, kreport_fraction, kreport_text, score_report, equiv_classes,
     em_step, em_abundance, accuracy, abundance_ssr, rank_corr, rank_kendall, stream_counts,
 ]
@@ -538,13 +571,51 @@ TREE = f"{VALID}, {LINK}, {WALK}, {LINES}, cl AS (SELECT tid, CAST(anc AS BIGINT
 HITS = "hits AS (SELECT sample_id, read_no, unique_id, coalesce(tax_id, 0) AS tid, mate, fw, score, coalesce(summed_hit_len, 0) AS hl FROM (SELECT DISTINCT * FROM hit_count WHERE score IS NOT NULL))"
 
 
-def _entries(name: str = "hits") -> str:
-    return f"""s1 AS (SELECT sample_id, read_no, tid, mate, fw, sum(score) AS sc, sum(hl) AS hl FROM {name} GROUP BY 1, 2, 3, 4, 5), s2 AS (SELECT sample_id, read_no, tid, mate, max(sc) AS sc, max(hl) AS hl FROM s1 GROUP BY 1, 2, 3, 4),
-        e AS (SELECT sample_id, read_no, tid, CAST(sum(sc) AS BIGINT) AS score, sum(hl) AS hit_len FROM s2 GROUP BY 1, 2, 3), b AS (SELECT * FROM e QUALIFY score = max(score) OVER (PARTITION BY sample_id, read_no)),
-        t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY sample_id, read_no ORDER BY tid) <= 5), sel AS (SELECT *, count(*) OVER (PARTITION BY sample_id, read_no) AS n_matches FROM t)"""
+def _entries(name: str = "hits", key: str = "tid") -> str:
+    return f"""s1 AS (SELECT sample_id, read_no, {key}, mate, fw, sum(score) AS sc, sum(hl) AS hl FROM {name} GROUP BY ALL), s2 AS (SELECT sample_id, read_no, {key}, mate, max(sc) AS sc, max(hl) AS hl FROM s1 GROUP BY ALL),
+        e AS MATERIALIZED (SELECT sample_id, read_no, {key}, CAST(sum(sc) AS BIGINT) AS score, sum(hl) AS hit_len FROM s2 GROUP BY ALL), b AS MATERIALIZED (SELECT * FROM e QUALIFY score = max(score) OVER (PARTITION BY sample_id, read_no))"""
+
+
+def _mixed(*columns: str, seed: int = 0) -> str:
+    x = f"CAST({seed} AS BIGINT)"
+    for c in columns:
+        x = f"(({x} * 48271 + {c} % {assign.PRIME}) % {assign.PRIME})"
+        x = f"list_reduce([{x}, 12345], lambda a, b: (a * a + b) % {assign.PRIME})"
+    return x
+
+
+def _selected(k: int, uid: bool = False) -> str:
+    """The rows kept of each read (sel), the rollup written out turn by turn. Needs TREE and _entries."""
+    read, last = "sample_id, read_no", dna.SLOT_COUNT
+    id_ = "unique_id" if uid else "CAST(NULL AS BIGINT)"
+    out = [
+        f"slots AS MATERIALIZED (SELECT w.tid, [{', '.join(f'coalesce(max(CASE WHEN slot = {s} THEN a END), 0)' for s in range(dna.SLOT_COUNT))}] AS path FROM w LEFT JOIN (SELECT tid, slot, arg_min(anc_tid, distance) AS a FROM (SELECT cl.tid, cl.anc_tid, distance, CASE WHEN distance = 0 AND ls.slot IS NULL THEN 0 ELSE ls.slot END AS slot FROM cl JOIN (SELECT tid AS anc_tid, {SLOT.format(r='tax_rank')} AS slot FROM lines) ls USING (anc_tid)) WHERE slot IS NOT NULL GROUP BY 1, 2) f ON f.tid = w.tid GROUP BY w.tid)",
+        f"st AS MATERIALIZED (SELECT {read}, count(*) AS n_all, max(score) AS top FROM e GROUP BY ALL), sb AS MATERIALIZED (SELECT e.sample_id, e.read_no, count(*) FILTER (WHERE score = top) AS n_top, coalesce(max(CASE WHEN score < top AND n_all <= {k} THEN score END), 0) AS below FROM e JOIN st USING ({read}) GROUP BY ALL)",
+        f"bt AS MATERIALIZED (SELECT b.*, n_top, below FROM b JOIN sb ON b.sample_id = sb.sample_id AND b.read_no = sb.read_no)",
+        f"r0 AS MATERIALIZED (SELECT *, len(path) AS plen, first_value(len(path)) OVER (PARTITION BY {read} ORDER BY ord) AS turns FROM (SELECT {read}, {id_} AS uid, bt.tid, score, hit_len, n_top AS n, n_top, below, 0 AS lvl, false AS moved, coalesce(path, []) AS path, row_number() OVER (PARTITION BY {read} ORDER BY bt.tid, {id_}) AS ord FROM bt LEFT JOIN slots ON slots.tid = bt.tid))",
+    ]
+    for r in range(last + 1):
+        go = f"n > {k} AND {r} <= turns"
+        lifted = f"{go} AND lvl < {r}"
+        out += [
+            # entries lifted to the turn, with the parent they wait for
+            f"p{r} AS MATERIALIZED (SELECT *, CASE WHEN {go} AND lvl = {r} THEN CASE WHEN {r + 1} < plen THEN path[{r + 2}] ELSE {taxonomy.ROOT} END ELSE 0 END AS par FROM (SELECT * REPLACE (CASE WHEN {lifted} AND {r} < plen THEN path[{r + 1}] ELSE tid END AS tid, moved OR ({lifted} AND {r} < plen) AS moved, CASE WHEN {lifted} THEN CASE WHEN {r} < plen THEN {r} ELSE 999 END ELSE lvl END AS lvl) FROM r{r}))",
+            # parents whose entries are merged: those reached while more than k entries are left
+            f"t{r} AS MATERIALIZED (SELECT {read}, g FROM (SELECT *, n - coalesce(sum(m - 1) OVER (PARTITION BY {read} ORDER BY c DESC, g DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT g.sample_id, g.read_no, g.g, any_value(g.c) AS c, any_value(g.n) AS n, count(*) AS m FROM (SELECT {read}, par AS g, count(*) AS c, any_value(n) AS n FROM p{r} WHERE par <> 0 GROUP BY ALL) g JOIN p{r} p ON p.sample_id = g.sample_id AND p.read_no = g.read_no AND (p.par = g.g OR p.tid = g.g) GROUP BY ALL)) WHERE before > {k})",
+            f"r{r + 1} AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY {read}) AS n FROM (SELECT {read}, uid, coalesce(to_, tid) AS tid, score, hit_len, CASE WHEN par = to_ THEN {r + 1} ELSE lvl END AS lvl, moved OR coalesce(par = to_, false) AS moved, path, ord, plen, turns, n_top, below FROM (SELECT p.*, coalesce(x.g, y.g) AS to_ FROM p{r} p LEFT JOIN t{r} x ON x.sample_id = p.sample_id AND x.read_no = p.read_no AND x.g = p.par LEFT JOIN t{r} y ON y.sample_id = p.sample_id AND y.read_no = p.read_no AND y.g = p.tid) QUALIFY row_number() OVER (PARTITION BY {read}, coalesce(to_, -ord) ORDER BY ord) = 1))",
+        ]
+    done = f"r{last + 1}"
+    out.append(
+        f"sel AS MATERIALIZED (SELECT {read}, CASE WHEN NOT moved AND n <= {k} THEN uid END AS unique_id, CASE WHEN n <= {k} THEN tid ELSE 0 END AS tid, CASE WHEN n <= {k} THEN score ELSE 0 END AS score, CASE WHEN n <= {k} THEN hit_len ELSE 0 END AS hit_len,"
+        f" CASE WHEN n BETWEEN 2 AND {k} THEN score WHEN n_top = 1 THEN below ELSE 0 END AS second, CASE WHEN n <= {k} THEN n ELSE 1 END AS n_matches, moved OR n > {k} AS moved FROM {done} QUALIFY n <= {k} OR row_number() OVER (PARTITION BY {read} ORDER BY ord) = 1)"
+    )
+    return ", ".join(out)
 
 
 ENT = f"{HITS}, {_entries()}"
+SEL = f"WITH RECURSIVE {TREE}, {ENT}, {_selected(5)}"
+#: A read's greatest possible score, and the ids of the reads that reach it.
+FULL = "mx AS (SELECT sample_id, read_no, m * greatest(0, n / m - 15) * greatest(0, n / m - 15) AS most FROM (SELECT sample_id, read_no, max(query_length) AS n, CASE WHEN max(mate) = 2 THEN 2 ELSE 1 END AS m FROM hit_count WHERE score IS NOT NULL GROUP BY ALL)), full_ AS (SELECT sel.* FROM sel JOIN mx USING (sample_id, read_no) WHERE score >= most OR (tid = 0 AND moved))"
 LCA = f"""bp AS (SELECT sample_id, read_no, b.tid, w.path FROM b LEFT JOIN w ON w.tid = b.tid WHERE b.tid <> 0),
         anc AS (SELECT sample_id, read_no, tid, unnest(string_split(coalesce(path, '{taxonomy.ROOT}'), '/')) AS a, unnest(range(0, len(string_split(coalesce(path, '{taxonomy.ROOT}'), '/')))) AS dep FROM bp),
         cnt AS (SELECT sample_id, read_no, a, max(dep) AS dep, count(DISTINCT tid) AS n FROM anc GROUP BY 1, 2, 3), tot AS (SELECT sample_id, read_no, count(DISTINCT tid) AS n FROM bp GROUP BY 1, 2),
@@ -562,10 +633,10 @@ CODE = "CASE {r} " + " ".join(f"WHEN '{n}' THEN '{c}'" for n, c in dna.RANK_CODE
 AC = "upper(trim(ac))"
 CONV = f"conv AS (SELECT {AC} AS uid, arg_min(taxid, map_id) AS tid FROM ac_to_taxid WHERE ac IS NOT NULL AND taxid IS NOT NULL AND {AC} IN (SELECT {AC} FROM ac_to_pos) GROUP BY 1)"
 LEAFROWS = """lf AS (SELECT DISTINCT tid AS leaf FROM hits WHERE tid <> 0), lp AS (SELECT DISTINCT cl.tid AS leaf, anc_tid FROM cl JOIN lf ON lf.leaf = cl.tid),
-        ec AS (SELECT ids, count(*) AS n FROM (SELECT list_sort(list(tid)) AS ids FROM sel GROUP BY sample_id, read_no) GROUP BY 1), ex AS (SELECT ids, n, unnest(ids) AS id FROM ec),
+        ec AS (SELECT ids, count(*) AS n FROM (SELECT list_sort(list(tid)) AS ids FROM full_ GROUP BY sample_id, read_no) GROUP BY 1), ex AS (SELECT ids, n, unnest(ids) AS id FROM ec),
         er AS (SELECT DISTINCT ids, n, leaf FROM ex JOIN lp ON lp.anc_tid = ex.id), len AS (SELECT er.*, coalesce(size, 18446744073709551615.0) AS size FROM er LEFT JOIN sizes ON sizes.tid = er.leaf),
-        d0 AS (SELECT leaf, sum(n / m / size) AS d FROM (SELECT *, count(*) OVER (PARTITION BY ids) AS m FROM len) GROUP BY 1), p0 AS (SELECT leaf, d / sum(d) OVER () AS p FROM d0),
-        d1 AS (SELECT leaf, sum(n * p / tot / size) AS d FROM (SELECT len.*, p, sum(p) OVER (PARTITION BY ids) AS tot FROM len JOIN p0 USING (leaf)) GROUP BY 1), p1 AS (SELECT leaf, d / sum(d) OVER () AS p FROM d1)"""
+        d0 AS (SELECT leaf, sum(n / m / size) AS d FROM (SELECT *, count(*) OVER (PARTITION BY ids) AS m FROM len) GROUP BY 1), q0 AS (SELECT leaf, d / sum(d) OVER () AS p FROM d0),
+        d1 AS (SELECT leaf, sum(n * p / tot / size) AS d FROM (SELECT len.*, p, sum(p) OVER (PARTITION BY ids) AS tot FROM len JOIN q0 USING (leaf)) GROUP BY 1), q1 AS (SELECT leaf, d / sum(d) OVER () AS p FROM d1)"""
 SHARES = "tr AS (SELECT tax_id AS tid, coalesce(sum(n_reads), 0) AS n FROM read_counts WHERE tax_id IS NOT NULL GROUP BY 1), tx AS (SELECT tid, n / sum(n) OVER () AS x FROM tr), ca AS (SELECT tid, count(*) AS n FROM sel WHERE tid <> 0 GROUP BY 1), cx AS (SELECT tid, n / sum(n) OVER () AS x FROM ca)"
 
 
@@ -611,52 +682,60 @@ def oracle_sql() -> dict[str, str]:
             SELECT species, 'cid|' || CASE WHEN species >> 32 = 0 THEN CAST(species AS VARCHAR) ELSE (species & 4294967295) || '.' || (species >> 32) END AS header, count(*) AS n_genomes, CAST(sum(n) AS BIGINT) // count(*) AS mean_size, max(n) AS longest, CAST(sum(n) AS BIGINT) // count(*) > 2000 AS is_large FROM x GROUP BY 1""",
         "classification_rank": f"""WITH RECURSIVE {TREE}, {HITS}, rs AS (SELECT tid AS anc_tid, {SLOT.format(r="tax_rank")} AS slot FROM lines), up AS (SELECT cl.tid, cl.anc_tid, distance, slot FROM cl JOIN rs USING (anc_tid) WHERE slot >= 2),
             f AS (SELECT tid, slot, arg_min(anc_tid, distance) AS a FROM up GROUP BY 1, 2), g AS (SELECT tid, arg_min(a, slot) AS a FROM f GROUP BY 1), kept AS (SELECT hits.* REPLACE (coalesce(g.a, hits.tid) AS tid) FROM hits LEFT JOIN g ON g.tid = hits.tid), {_entries('kept')} SELECT sample_id, read_no, tid, score FROM b""",
-        "score_filter": f"WITH {ENT} SELECT sample_id, read_no, tid, score FROM sel WHERE score >= 5000 AND hit_len >= 60",
+        "score_filter": f"{SEL} SELECT sample_id, read_no, tid, score FROM sel WHERE score >= 5000 AND hit_len >= 60",
         "one_strand": f"{_seed_cte()} SELECT read_id, ref_id, count(*) AS n_seeds FROM m WHERE NOT fw GROUP BY 1, 2",
         "genome_sim_pairs": f"WITH {REFS}, km AS (SELECT DISTINCT ident, kmer FROM ({k31})) SELECT a.ident AS a, b.ident AS b, count(*) AS n FROM km a JOIN km b ON a.kmer = b.kmer AND a.ident < b.ident GROUP BY 1, 2",
         "nonshared_regions": f"WITH {REFS}, {shared} SELECT ref_id, f AS start, start - f AS length FROM gap WHERE start - f >= 1",
         "sequences_by_taxon": f"WITH {CONV} SELECT pos_id, tid AS taxid, file_pos FROM ac_to_pos p JOIN conv ON conv.uid = upper(trim(p.ac))",
         "finalised_entries": f"WITH {ENT} SELECT sample_id, read_no, tid, score, round(hit_len, 3) AS hit_len FROM e",
         "best_ties": f"WITH {ENT} SELECT sample_id, read_no, tid, score FROM b",
-        "topk_assign": f"WITH {ENT} SELECT sample_id, read_no, tid, score, n_matches FROM sel",
+        "topk_assign": f"{SEL} SELECT sample_id, read_no, tid, score, n_matches FROM sel",
         "all_assign": f"WITH {ENT} SELECT sample_id, read_no, tid, score, count(*) OVER (PARTITION BY sample_id, read_no) AS n_matches FROM b",
         "no_traverse": f"WITH {ENT}, c AS (SELECT *, count(*) OVER (PARTITION BY sample_id, read_no) AS c FROM b) SELECT sample_id, read_no, tid, score, 1 AS n_matches FROM c WHERE c = 1 UNION ALL SELECT DISTINCT sample_id, read_no, 0, 0, 1 FROM c WHERE c > 1",
         "second_best": f"WITH {ENT}, r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, read_no ORDER BY score DESC, tid) AS n FROM e) SELECT sample_id, read_no, max(score) AS best, coalesce(max(CASE WHEN n = 2 THEN score END), 0) AS second FROM r GROUP BY 1, 2",
-        "num_matches": f"WITH {ENT} SELECT DISTINCT sample_id, read_no, n_matches FROM sel",
+        "num_matches": f"{SEL} SELECT DISTINCT sample_id, read_no, n_matches FROM sel",
         "exclude_taxa": f"{ex} SELECT sample_id, read_no, tid, score FROM b",
         "host_taxa": f"{host} SELECT sample_id, read_no, tid, score, is_host FROM bh QUALIFY is_host OR NOT bool_or(is_host) OVER (PARTITION BY sample_id, read_no)",
-        "seqid_display": f"WITH {LINES}, {HITS} SELECT DISTINCT h.unique_id, h.tid, CASE WHEN coalesce(l.leaf, true) OR l.tax_rank = 'no rank' THEN coalesce(p.ac, 'unclassified') ELSE l.tax_rank END AS seq_id FROM hits h LEFT JOIN lines l ON l.tid = h.tid LEFT JOIN ac_to_pos p ON p.pos_id = h.unique_id",
-        "classified_split": f"WITH {ENT}, y AS (SELECT DISTINCT sample_id, read_no FROM sel WHERE tid <> 0), r AS (SELECT DISTINCT sample_id, read_no FROM hit_count) SELECT r.sample_id, r.read_no, y.read_no IS NOT NULL AS classified FROM r LEFT JOIN y ON y.sample_id = r.sample_id AND y.read_no = r.read_no",
-        "output_table": f"""WITH {ENT}, r AS (SELECT *, row_number() OVER (PARTITION BY sample_id, read_no ORDER BY score DESC, tid) AS n FROM e), s AS (SELECT sample_id, read_no, coalesce(max(CASE WHEN n = 2 THEN score END), 0) AS second FROM r GROUP BY 1, 2),
-            q AS (SELECT sample_id, read_no, max(query_length) AS ql FROM hit_count GROUP BY 1, 2)
-            SELECT sel.sample_id || '_' || sel.read_no AS "readID", CASE WHEN tid >> 32 = 0 THEN CAST(tid AS VARCHAR) ELSE (tid & 4294967295) || '.' || (tid >> 32) END AS "seqID", tid AS "taxID", score, second AS "2ndBestScore", round(hit_len, 3) AS "hitLength", ql AS "queryLength", n_matches AS "numMatches"
-            FROM sel JOIN s USING (sample_id, read_no) JOIN q USING (sample_id, read_no)""",
+        "seqid_display": f"WITH {LINES}, {HITS} SELECT DISTINCT h.unique_id, h.tid, CASE WHEN h.tid = 0 THEN 'unclassified' WHEN coalesce(l.leaf, true) THEN coalesce(p.ac, l.tax_rank, 'no rank') ELSE l.tax_rank END AS seq_id FROM hits h LEFT JOIN lines l ON l.tid = h.tid LEFT JOIN ac_to_pos p ON p.pos_id = h.unique_id",
+        "classified_split": f"{SEL}, y AS (SELECT DISTINCT sample_id, read_no FROM sel WHERE tid <> 0), r AS (SELECT DISTINCT sample_id, read_no FROM hit_count) SELECT r.sample_id, r.read_no, y.read_no IS NOT NULL AS classified FROM r LEFT JOIN y ON y.sample_id = r.sample_id AND y.read_no = r.read_no",
+        "output_table": f"""WITH RECURSIVE {TREE}, {HITS}, {_entries(key="unique_id, tid")}, {_selected(5, uid=True)}, q AS (SELECT sample_id, read_no, max(query_length) AS ql FROM hit_count WHERE score IS NOT NULL GROUP BY ALL)
+            SELECT sel.sample_id || '_' || sel.read_no AS "readID", CASE WHEN sel.tid = 0 THEN 'unclassified' WHEN coalesce(leaf, true) THEN coalesce(ac, tax_rank, 'no rank') ELSE tax_rank END AS "seqID", sel.tid AS "taxID", score, second AS "2ndBestScore", round(hit_len, 3) AS "hitLength", ql AS "queryLength", n_matches AS "numMatches"
+            FROM sel JOIN q USING (sample_id, read_no) LEFT JOIN lines ON lines.tid = sel.tid LEFT JOIN ac_to_pos ON pos_id = sel.unique_id""",
+        "finalised_sequences": f"WITH {HITS}, {_entries(key='unique_id, tid')} SELECT sample_id, read_no, unique_id, tid, score, round(hit_len, 3) AS hit_len FROM e",
+        "bounded_rollup": f"WITH RECURSIVE {TREE}, {ENT}, {_selected(1)} SELECT sample_id, read_no, tid, round(hit_len, 3) AS hit_len FROM sel",
+        "rollup_to_two": f"WITH RECURSIVE {TREE}, {ENT}, {_selected(2)} SELECT sample_id, read_no, tid, score, round(hit_len, 3) AS hit_len, second, n_matches, moved FROM sel",
+        "host_selection": f"""WITH RECURSIVE {TREE}, {ENT}, {_selected(1)}, hs AS (SELECT tid FROM cl WHERE anc_tid = {HOST} UNION SELECT {HOST}), hb AS (SELECT b.*, count(*) OVER (PARTITION BY sample_id, read_no) AS c FROM b WHERE tid IN (SELECT tid FROM hs)),
+            hl AS (SELECT e.sample_id, e.read_no, max(e.score) AS s FROM e JOIN st USING (sample_id, read_no) WHERE e.score < top AND tid IN (SELECT tid FROM hs) GROUP BY ALL)
+            SELECT sample_id, read_no, tid, score, second, n_matches FROM sel ANTI JOIN hb USING (sample_id, read_no)
+            UNION ALL SELECT sample_id, read_no, tid, score, CASE WHEN c > 1 THEN score ELSE coalesce(hl.s, 0) END, 1 FROM (SELECT * FROM hb QUALIFY row_number() OVER (PARTITION BY sample_id, read_no ORDER BY {_mixed("sample_id", "read_no", "tid", seed=7)}, tid) = 1) LEFT JOIN hl USING (sample_id, read_no)""",
+        "random_assign": f"WITH {ENT} SELECT sample_id, read_no, tid, score FROM e QUALIFY row_number() OVER (PARTITION BY sample_id, read_no ORDER BY {_mixed('sample_id', 'read_no', 'tid')}, tid) <= 2",
+        "unclassified_rows": f"{SEL}, r AS (SELECT DISTINCT sample_id, read_no FROM hit_count) SELECT r.sample_id, r.read_no, coalesce(tid, 0) AS tid, coalesce(score, 0) AS score, coalesce(n_matches, 1) AS n_matches FROM r LEFT JOIN sel USING (sample_id, read_no)",
         "tax_closure": f"WITH RECURSIVE {TREE} SELECT tid, anc_tid, distance FROM cl",
         "tax_path": f"""WITH RECURSIVE {TREE}, rs AS (SELECT tid AS anc_tid, {SLOT.format(r="tax_rank")} AS slot FROM lines), up AS (SELECT cl.tid, cl.anc_tid, distance, CASE WHEN distance = 0 AND slot IS NULL THEN 0 ELSE slot END AS slot FROM cl JOIN rs USING (anc_tid)),
             f AS (SELECT tid, slot, arg_min(anc_tid, distance) AS a FROM up WHERE slot IS NOT NULL GROUP BY 1, 2) SELECT w.tid, {" || ',' || ".join(f"coalesce(max(CASE WHEN slot = {s} THEN a END), 0)" for s in range(dna.SLOT_COUNT))} AS slots FROM w LEFT JOIN f ON f.tid = w.tid GROUP BY w.tid""",
         "genus_of": f"WITH RECURSIVE {TREE}, g AS (SELECT cl.tid, arg_min(cl.anc_tid, distance) AS a FROM cl JOIN lines ON lines.tid = cl.anc_tid WHERE tax_rank = 'genus' GROUP BY 1) SELECT w.tid, coalesce(g.a, 0) AS anc_tid FROM w LEFT JOIN g ON g.tid = w.tid",
         "pruned_tree": f"WITH RECURSIVE {TREE}, r AS (SELECT DISTINCT tid FROM genome_seq WHERE tid IS NOT NULL) SELECT l.tid, l.parent_tid, l.tid IN (SELECT tid FROM r) AS leaf FROM lines l WHERE l.tid IN (SELECT anc_tid FROM cl WHERE tid IN (SELECT tid FROM r))",
         "lca_reads": f"WITH RECURSIVE {TREE}, {ENT}, {LCA} SELECT sample_id, read_no, lca FROM lca",
-        "promote_rank": f"WITH RECURSIVE {TREE}, {ENT}, g AS (SELECT cl.tid, arg_min(cl.anc_tid, distance) AS a FROM cl JOIN lines ON lines.tid = cl.anc_tid WHERE tax_rank = 'genus' GROUP BY 1), p AS (SELECT DISTINCT sample_id, read_no, coalesce(g.a, sel.tid) AS tid FROM sel LEFT JOIN g ON g.tid = sel.tid) SELECT *, count(*) OVER (PARTITION BY sample_id, read_no) AS n_matches FROM p",
+        "promote_rank": f"{SEL}, g AS (SELECT cl.tid, arg_min(cl.anc_tid, distance) AS a FROM cl JOIN lines ON lines.tid = cl.anc_tid WHERE tax_rank = 'genus' GROUP BY 1), p AS (SELECT DISTINCT sample_id, read_no, coalesce(g.a, sel.tid) AS tid FROM sel LEFT JOIN g ON g.tid = sel.tid) SELECT *, count(*) OVER (PARTITION BY sample_id, read_no) AS n_matches FROM p",
         "mean_genome_size": f"""WITH RECURSIVE {TREE}, {REFS}, {SIZES}, rs AS (SELECT tid, {SLOT.format(r="tax_rank")} AS slot FROM lines), low AS (SELECT s.tid, s.size FROM sizes s LEFT JOIN rs ON rs.tid = s.tid WHERE slot IS NULL OR slot = 0),
             mean AS (SELECT cl.anc_tid AS tid, CAST(sum(low.size) AS BIGINT) // count(*) AS m FROM cl JOIN low ON low.tid = cl.tid JOIN rs ON rs.tid = cl.anc_tid WHERE rs.slot BETWEEN 1 AND 6 GROUP BY 1) SELECT coalesce(mean.tid, sizes.tid) AS tid, coalesce(m, size) AS size FROM sizes FULL JOIN mean ON mean.tid = sizes.tid""",
         "clade_rollup": f"WITH RECURSIVE {TREE}, {_clades('SELECT tax_id AS tid, sum(n_reads) AS n FROM (SELECT DISTINCT * FROM read_counts WHERE tax_id IS NOT NULL AND n_reads IS NOT NULL) GROUP BY 1')} SELECT tid, CAST(clade AS BIGINT) AS clade, CAST(own AS BIGINT) AS own FROM clades",
-        "taxon_report": f"""WITH {REFS}, {SIZES}, {LINES}, {ENT}, c AS (SELECT tid, count(*) AS n, count(*) FILTER (WHERE n_matches = 1) AS u FROM sel WHERE tid <> 0 GROUP BY 1)
+        "taxon_report": f"""{SEL}, {REFS}, {SIZES}, c AS (SELECT tid, count(*) AS n, count(*) FILTER (WHERE n_matches = 1) AS u FROM sel WHERE tid <> 0 GROUP BY 1)
             SELECT CASE WHEN c.tid >> 32 = 0 THEN CAST(c.tid AS VARCHAR) ELSE (c.tid & 4294967295) || '.' || (c.tid >> 32) END AS name, c.tid AS "taxID", CASE WHEN coalesce(tax_rank, 'no rank') = 'no rank' AND leaf THEN 'leaf' ELSE coalesce(tax_rank, 'no rank') END AS "taxRank", coalesce(size, 0) AS "genomeSize", n AS "numReads", u AS "numUniqueReads"
             FROM c LEFT JOIN lines ON lines.tid = c.tid LEFT JOIN sizes ON sizes.tid = c.tid""",
-        "taxon_weights": f"WITH {ENT} SELECT tid, count(*) AS n_reads, count(*) FILTER (WHERE n_matches = 1) AS n_unique_reads, round(sum(1 / n_matches), 6) AS weighted_reads FROM sel GROUP BY 1",
+        "taxon_weights": f"{SEL} SELECT tid, count(*) AS n_reads, count(*) FILTER (WHERE n_matches = 1) AS n_unique_reads, round(sum(1 / n_matches), 6) AS weighted_reads, count(*) AS sum_score, round(sum(hit_len), 3) AS summed_hit_len FROM sel GROUP BY 1",
         "batch_totals": "SELECT tax_id, CAST(sum(n_reads) AS BIGINT) AS n_reads, CAST(sum(sum_score) AS BIGINT) AS sum_score, round(sum(weighted_reads), 3) AS weighted_reads, CAST(sum(n_unique_reads) AS BIGINT) AS n_unique_reads FROM (SELECT DISTINCT * FROM read_counts) GROUP BY 1",
         "kreport_lca": f"{lca_clades} SELECT tid, CAST(clade AS BIGINT) AS clade, CAST(own AS BIGINT) AS own FROM clades",
-        "kreport_fraction": f"WITH RECURSIVE {TREE}, {ENT}, {_clades('SELECT tid, sum(1 / n_matches) AS n FROM sel WHERE tid <> 0 GROUP BY 1')} SELECT tid, round(clade, 6) AS clade, round(own, 6) AS own FROM clades",
+        "kreport_fraction": f"{SEL}, {_clades('SELECT tid, sum(1 / n_matches) AS n FROM sel WHERE tid <> 0 GROUP BY 1')} SELECT tid, round(clade, 6) AS clade, round(own, 6) AS own FROM clades",
         "kreport_text": f"""{lca_clades} SELECT round(100 * clade / (SELECT sum(own) FROM clades), 2) AS pct, CAST(clade AS BIGINT) AS clade, CAST(clades.own AS BIGINT) AS own, {CODE.format(r="tax_rank")} AS rank_code, clades.tid, repeat('  ', w.depth) || CASE WHEN clades.tid >> 32 = 0 THEN CAST(clades.tid AS VARCHAR) ELSE (clades.tid & 4294967295) || '.' || (clades.tid >> 32) END AS label
             FROM clades JOIN w ON w.tid = clades.tid LEFT JOIN lines ON lines.tid = clades.tid""",
-        "score_report": f"WITH {REFS}, {SIZES}, {ENT}, s AS (SELECT tid, CAST(sum(score) AS BIGINT) AS score FROM sel WHERE tid <> 0 GROUP BY 1) SELECT s.tid, s.score, round(s.score / size, 6) AS per_base FROM s LEFT JOIN sizes ON sizes.tid = s.tid",
-        "equiv_classes": f"WITH {ENT} SELECT ids, count(*) AS n FROM (SELECT array_to_string(list_sort(list(tid)), ',') AS ids FROM sel GROUP BY sample_id, read_no) GROUP BY 1",
-        "em_step": f"WITH RECURSIVE {TREE}, {REFS}, {SIZES}, {ENT}, {LEAFROWS} SELECT leaf AS tid, round(p0.p, 8) AS p0, round(p1.p, 8) AS p1 FROM p0 JOIN p1 USING (leaf)",
-        "accuracy": f"""WITH {ENT}, {truth}, a AS (SELECT sel.sample_id, sel.read_no, bool_or(sel.tid = truth.tid) AS hit, count(*) AS n FROM sel JOIN truth USING (sample_id, read_no) WHERE sel.tid <> 0 GROUP BY 1, 2)
+        "score_report": f"{SEL}, {REFS}, {SIZES}, s AS (SELECT tid, CAST(sum(score) AS BIGINT) AS score FROM sel WHERE tid <> 0 GROUP BY 1) SELECT s.tid, s.score, round(s.score / size, 6) AS per_base FROM s LEFT JOIN sizes ON sizes.tid = s.tid",
+        "equiv_classes": f"{SEL}, {FULL} SELECT ids, count(*) AS n FROM (SELECT array_to_string(list_sort(list(tid)), ',') AS ids FROM full_ GROUP BY sample_id, read_no) GROUP BY 1",
+        "em_step": f"{SEL}, {FULL}, {REFS}, {SIZES}, {LEAFROWS} SELECT leaf AS tid, round(q0.p, 8) AS p0, round(q1.p, 8) AS p1 FROM q0 JOIN q1 USING (leaf)",
+        "accuracy": f"""{SEL}, {truth}, a AS (SELECT sel.sample_id, sel.read_no, bool_or(sel.tid = truth.tid) AS hit, count(*) AS n FROM sel JOIN truth USING (sample_id, read_no) WHERE sel.tid <> 0 GROUP BY 1, 2)
             SELECT (SELECT count(*) FROM truth) AS n_reads, count(*) AS n_classified, count(*) FILTER (WHERE hit) AS n_right, count(*) FILTER (WHERE hit AND n = 1) AS n_unique_right, round(count(*) FILTER (WHERE hit) / (SELECT count(*) FROM truth), 6) AS sensitivity, round(count(*) FILTER (WHERE hit) / count(*), 6) AS precision FROM a""",
-        "abundance_ssr": f"WITH {ENT}, {SHARES} SELECT round(sum(pow(tx.x - coalesce(cx.x, 0), 2)), 9) AS ssr, count(*) AS n_taxa FROM tx LEFT JOIN cx ON cx.tid = tx.tid",
-        "rank_corr": f"""WITH {LINES}, {ENT}, {SHARES}, {rank_pairs}, rk AS (SELECT *, rank() OVER (PARTITION BY tax_rank ORDER BY a) + (count(*) OVER (PARTITION BY tax_rank, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY tax_rank ORDER BY b) + (count(*) OVER (PARTITION BY tax_rank, b) - 1) / 2 AS rb FROM pr)
+        "abundance_ssr": f"{SEL}, {SHARES} SELECT round(sum(pow(tx.x - coalesce(cx.x, 0), 2)), 9) AS ssr, count(*) AS n_taxa FROM tx LEFT JOIN cx ON cx.tid = tx.tid",
+        "rank_corr": f"""{SEL}, {SHARES}, {rank_pairs}, rk AS (SELECT *, rank() OVER (PARTITION BY tax_rank ORDER BY a) + (count(*) OVER (PARTITION BY tax_rank, a) - 1) / 2 AS ra, rank() OVER (PARTITION BY tax_rank ORDER BY b) + (count(*) OVER (PARTITION BY tax_rank, b) - 1) / 2 AS rb FROM pr)
             SELECT tax_rank, round(corr(a, b), 6) AS pearson, round(corr(ra, rb), 6) AS spearman, count(*) AS n FROM rk GROUP BY 1 HAVING count(*) > 2""",
         "stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
     }

@@ -88,7 +88,9 @@ def test_roll_up_examples():
     assert assign.roll_up(slots, e, 1) == [(30, 50.0)]
     assert assign.roll_up({1: [1], 2: [2]}, [(1, 5.0), (2, 4.0)], 1) == [(1, 5.0)]  # past both paths' ends lies the root, 1
     assert assign.roll_up({}, [(8, 1.0), (9, 2.0)], 1) == [(1, 1.0)]  # no path at all: the root is next
-    assert assign.roll_up({1: [1, 0], 2: [2, 0]}, [(1, 1.0), (2, 1.0)], 1) is None  # both wait for a parent that is missing
+    # an empty slot is passed over: both meet in what comes after it, here the root
+    assert assign.roll_up({1: [1, 0], 2: [2, 0]}, [(1, 1.0), (2, 1.0)], 1) == [(1, 1.0)]
+    assert assign.roll_up({5: [5, 5, 0, 30], 6: [6, 6, 0, 30]}, [(5, 1.0), (6, 2.0)], 1) == [(30, 1.0)]
 
 
 def test_abundance_solver_and_distributed_steps_agree(spark, monkeypatch):
