@@ -50,6 +50,26 @@ def sizes(refs: DataFrame) -> DataFrame:
     return refs.where("tid is not null").groupBy("tid").agg(F.sum(F.length("bases").cast("bigint")).alias("size"))
 
 
+def sizes_with(computed: DataFrame, given: DataFrame) -> DataFrame:
+    """(tid, size): sizes of the given table in the place of computed ones; a taxon given twice has its largest size."""
+    g = given.where("tid is not null and size is not null").groupBy("tid").agg(F.max("size").alias("_given"))
+    return computed.join(g, "tid", "full").select("tid", F.coalesce("_given", "size").alias("size"))
+
+
+def names_only(refs: DataFrame) -> DataFrame:
+    """(name): the sequences' names."""
+    return refs.select(F.coalesce("uid", F.col("ref_id").cast("string")).alias("name"))
+
+
+def cleaned_records(refs: DataFrame, width: int = 80) -> DataFrame:
+    """(ref_id, header, line_no, line): records prepared for indexing. The taxon stands first in the header, N letters are
+    taken out, text is wrapped at ``width`` and records left without letters are dropped."""
+    text = F.regexp_replace("bases", "[nN]", "")
+    kept = refs.select("ref_id", F.concat_ws(" ", dna.taxid_text(F.coalesce("tid", F.lit(0))), "uid").alias("header"), text.alias("t")).where("t <> ''")
+    lines = F.transform(F.sequence(F.lit(0), F.ceil(F.length("t") / width).cast("int") - 1), lambda i: F.substring(F.col("t"), i * width + 1, F.lit(width)))
+    return kept.select("ref_id", "header", F.posexplode(lines).alias("line_no", "line"))
+
+
 def spectrum(refs: DataFrame, most: int) -> DataFrame:
     """(k, n_distinct, n_total) of the k-mers of all sizes 1 to ``most``; distinct k-mers are grouped before they are counted."""
     out = None

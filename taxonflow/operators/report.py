@@ -49,6 +49,13 @@ def clade_report(clades: DataFrame, lines: DataFrame, resolved: DataFrame, show_
     )
 
 
+def from_count_table(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((tid, n), (n_total)) of a count table (tid, count, place): the last line of a taxon counts, the total is that of
+    all lines."""
+    last = counts.where("tid is not null").groupBy("tid").agg(F.max_by("count", "place").alias("n"))
+    return last, counts.where("tid is not null").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n_total"))
+
+
 def filtered(rows: DataFrame, min_score: int = 0, min_length: float = 0) -> DataFrame:
     """Assignment rows that reach a score and a hit length."""
     return rows.where((F.col("score") >= min_score) & (F.col("hit_len") >= min_length))
@@ -90,20 +97,38 @@ def correlations(pairs: DataFrame, by: str) -> DataFrame:
     return x.groupBy(by).agg(F.corr("a", "b").alias("pearson"), F.corr("r_a", "r_b").alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
-def kendall(pairs: DataFrame, by: str, block: int = 4096) -> DataFrame:
-    """(by, tau_b) for groups of a few thousand pairs at most each (a rank's taxa): compared inside one task by group."""
+def kendall(pairs: DataFrame, by: str) -> DataFrame:
+    """(by, tau_b) of columns a and b; null where either has no two different values or a group is a single pair.
+
+    Discordant pairs are the inversions of b in the order of a, counted by merging in n log n steps; a group (the taxa of
+    one rank) is worked on by one task.
+    """
     import numpy as np
     import pandas as pd
 
+    def tied(*columns: np.ndarray) -> int:
+        return sum(int(c) * (int(c) - 1) // 2 for c in np.unique(np.stack(columns, 1), axis=0, return_counts=True)[1])
+
+    def inversions(x: np.ndarray) -> int:
+        """Pairs i < j with x[i] > x[j]."""
+        rank = np.unique(x, return_inverse=True)[1]
+        n, out, width = len(rank), 0, 1
+        while width < n:
+            for lo in range(0, n, 2 * width):
+                left, right = rank[lo : lo + width], rank[lo + width : lo + 2 * width]
+                if len(right):
+                    out += int((len(left) - np.searchsorted(left, right, side="right")).sum())
+                    rank[lo : lo + 2 * width] = np.sort(rank[lo : lo + 2 * width], kind="stable")
+            width *= 2
+        return out
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf.a.to_numpy(float), pdf.b.to_numpy(float)
-        s = ta = tb = 0.0
-        for i in range(0, len(a), block):
-            x, y = np.sign(a[i : i + block, None] - a[None, :]), np.sign(b[i : i + block, None] - b[None, :])
-            s += (x * y).sum()
-            ta += (x * x).sum()
-            tb += (y * y).sum()
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "tau_b": [s / np.sqrt(ta * tb) if ta and tb else None]})
+        n, order = len(a), np.lexsort((b, a))
+        whole, ta, tb = n * (n - 1) // 2, tied(a), tied(b)
+        s = whole - ta - tb + tied(a, b) - 2 * inversions(b[order])
+        root = float(whole - ta) * float(whole - tb)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "tau_b": [s / np.sqrt(root) if root else None]})
 
     kind = dict(pairs.dtypes)[by]
     return pairs.groupBy(by).applyInPandas(run, f"{by} {kind}, tau_b double")

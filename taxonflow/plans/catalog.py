@@ -1,21 +1,18 @@
 """Queries of the classification operators over whole tables, and the SQL they are held against.
 
-References are the records of genome_seq; reads are all 100-letter windows of those records, and where no SQL fixes them
-so, in exact_classification and the queries named ..._whole, the rest of each record too. Hits, per-read entries and
+References are the records of genome_seq; reads are all 100-letter windows of those records, the rest of
+a record being a shorter last one. Hits, per-read entries and
 assignments come from hit_count, the tree from taxonomy_node, counters from read_counts, accessions from ac_to_pos and
 ac_to_taxid.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taxonflow.functions import dna
-from taxonflow.operators import abundance, assign, exact, index, redundancy, report, seeds, taxonomy
+from taxonflow.operators import abundance, assign, exact, filters, index, redundancy, report, seeds, taxonomy
 from taxonflow.plans.core_problems import LINK, VALID, WALK
 from taxonflow.session import cut_lineage, table
 from taxonflow.sources import readers, sinks
@@ -33,15 +30,7 @@ def refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reads(spark: SparkSession, d: str) -> DataFrame:
-    """(read_id, ref_id, seq): windows of READ_LENGTH letters, one after another; a rest is no read."""
-    r = refs(spark, d).where(F.length("bases") >= READ_LENGTH)
-    n = F.floor(F.length("bases") / READ_LENGTH).cast("int")
-    cut = r.withColumn("w", F.explode(F.sequence(F.lit(0), n - 1)))
-    return cut.select((F.col("ref_id") * 1000 + F.col("w")).alias("read_id"), "ref_id", F.substring(F.col("bases"), F.col("w") * READ_LENGTH + 1, F.lit(READ_LENGTH)).alias("seq"))
-
-
-def whole_reads(spark: SparkSession, d: str) -> DataFrame:
-    """(read_id, ref_id, seq): as ``reads``, but a rest and a shorter record are reads too, and no two reads share an id."""
+    """(read_id, ref_id, seq): windows of READ_LENGTH letters, one after another; the last may be shorter."""
     r = refs(spark, d).where(F.length("bases") > 0)
     n = F.ceil(F.length("bases") / READ_LENGTH).cast("int")
     cut = r.withColumn("w", F.explode(F.sequence(F.lit(0), n - 1)))
@@ -72,49 +61,44 @@ def chosen(spark: SparkSession, d: str, known: tuple[DataFrame, DataFrame] | Non
 # --- sequences and functions
 
 
-def seed_join(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
-    m = seeds.seed_matches(seeds.read_kmers(of(spark, d), "read_id", "seq"), seeds.index(refs(spark, d), "ref_id", "bases"))
+def seed_join(spark: SparkSession, d: str) -> DataFrame:
+    m = seeds.seed_matches(seeds.read_kmers(reads(spark, d), "read_id", "seq"), seeds.index(refs(spark, d), "ref_id", "bases"))
     return m.groupBy("read_id", "ref_id", "fw").agg(F.count(F.lit(1)).alias("n_seeds"))
 
 
-def _runs(spark: SparkSession, d: str, of: Callable, cap: int | None = None) -> DataFrame:
-    return seeds.maximal_matches(seeds.seed_matches(seeds.read_kmers(of(spark, d), "read_id", "seq"), seeds.index(refs(spark, d), "ref_id", "bases", cap=cap)))
+def _runs(spark: SparkSession, d: str, cap: int | None = None) -> DataFrame:
+    return seeds.maximal_matches(seeds.seed_matches(seeds.read_kmers(reads(spark, d), "read_id", "seq"), seeds.index(refs(spark, d), "ref_id", "bases", cap=cap)))
 
 
-def seed_runs(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
-    return _runs(spark, d, of)
+def seed_runs(spark: SparkSession, d: str) -> DataFrame:
+    return _runs(spark, d)
 
 
-def hit_score(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
-    return seeds.reference_scores(_runs(spark, d, of))
+def hit_score(spark: SparkSession, d: str) -> DataFrame:
+    return seeds.reference_scores(_runs(spark, d))
 
 
-def occurrence_cap(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
-    return seeds.reference_scores(_runs(spark, d, of, cap=2))
+def occurrence_cap(spark: SparkSession, d: str) -> DataFrame:
+    return seeds.reference_scores(_runs(spark, d, cap=2))
 
 
 def exact_classification(spark: SparkSession, d: str) -> DataFrame:
-    return exact.classify(whole_reads(spark, d), refs(spark, d))
+    return exact.classify(reads(spark, d), refs(spark, d))
 
 
 def revcomp(spark: SparkSession, d: str) -> DataFrame:
     return refs(spark, d).select("ref_id", dna.reverse_complement(dna.cleaned(F.col("bases"))).alias("rc"))
 
 
-def n_filter(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
-    return of(spark, d).select("read_id", dna.n_count(F.col("seq")).alias("n_ambiguous"), dna.passes_n_filter(F.col("seq")).alias("passes"))
+def n_filter(spark: SparkSession, d: str) -> DataFrame:
+    return reads(spark, d).select("read_id", dna.n_count(F.col("seq")).alias("n_ambiguous"), dna.passes_n_filter(F.col("seq")).alias("passes"))
 
 
-def trim_reads(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
-    return of(spark, d).select("read_id", dna.trimmed(F.col("seq"), 7, 5).alias("seq"))
+def trim_reads(spark: SparkSession, d: str) -> DataFrame:
+    return reads(spark, d).select("read_id", dna.trimmed(F.col("seq"), 7, 5).alias("seq"))
 
 
 def kmer_encode(spark: SparkSession, d: str) -> DataFrame:
-    k = table(spark, d, "local_kmer").select("genome_id", F.substring("kmer", 1, 31).alias("k")).distinct()
-    return k.select("genome_id", F.col("k").alias("kmer"), dna.kmer_code(F.col("k")).alias("code"))
-
-
-def kmer_encode_whole(spark: SparkSession, d: str) -> DataFrame:
     """Whole k-mers in two packed words, of up to 31 letters and of the rest; both null if any letter is not A, C, G or T."""
     k = table(spark, d, "local_kmer").select("genome_id", "kmer").distinct()
     good = F.upper("kmer").rlike("^[ACGT]{1,62}$")
@@ -122,6 +106,16 @@ def kmer_encode_whole(spark: SparkSession, d: str) -> DataFrame:
     return k.select("genome_id", "kmer", word(1).alias("code_1"), F.when(F.length("kmer") > 31, word(32)).alias("code_2"))
 
 
+def pair_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Each pair of neighbouring windows as a pair of mates: what passes by mate, and with both mates' letters together."""
+    r = reads(spark, d).withColumn("w", F.col("read_id") % WINDOWS)
+    mate = r.select("ref_id", (F.col("w") - 1).alias("w"), F.col("seq").alias("seq2"))
+    pairs = r.where("w % 2 = 0").join(mate, ["ref_id", "w"], "left").withColumn("filter", (F.col("read_id") % 3).cast("string"))
+    one = filters.marked(pairs, qc=True)
+    both = filters.n_filter_pair(F.col("seq"), F.col("seq2"), together=True)[0]
+    return one.select("read_id", "passes", "passes2", both.alias("passes_together"))
+
+
 def read_id_clean(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ac_to_pos").select("pos_id", dna.header_uid(F.col("header")).alias("uid"), dna.read_name(F.concat(F.regexp_replace("header", "^>", ""), F.lit("/1"))).alias("name"))
 
@@ -176,6 +170,20 @@ def inspect_tree(spark: SparkSession, d: str) -> DataFrame:
     return index.tree_text(lines(spark, d))
 
 
+def inspect_names(spark: SparkSession, d: str) -> DataFrame:
+    return index.names_only(refs(spark, d))
+
+
+def cleaned_records(spark: SparkSession, d: str) -> DataFrame:
+    return index.cleaned_records(refs(spark, d))
+
+
+def size_override(spark: SparkSession, d: str) -> DataFrame:
+    """Computed sizes, and in their place those a table names (here of every third taxon)."""
+    own = genome_sizes(spark, d)
+    return index.sizes_with(own, own.where("tid % 3 = 0").select("tid", (F.col("size") * 10).alias("size")))
+
+
 def conversion_table(spark: SparkSession, d: str) -> DataFrame:
     known = table(spark, d, "ac_to_pos").select(F.upper(F.trim("ac")).alias("uid"))
     return index.conversion_table(table(spark, d, "ac_to_taxid").withColumn("u", F.upper(F.trim("ac"))), "u", "taxid", "map_id", known)
@@ -300,8 +308,8 @@ def score_filter(spark: SparkSession, d: str) -> DataFrame:
     return report.filtered(chosen(spark, d), 5000, 60).select("sample_id", "read_no", "tid", "score")
 
 
-def one_strand(spark: SparkSession, d: str, of: Callable = reads) -> DataFrame:
-    m = seeds.seed_matches(seeds.read_kmers(of(spark, d), "read_id", "seq", strands=("rc",)), seeds.index(refs(spark, d), "ref_id", "bases"))
+def one_strand(spark: SparkSession, d: str) -> DataFrame:
+    m = seeds.seed_matches(seeds.read_kmers(reads(spark, d), "read_id", "seq", strands=("rc",)), seeds.index(refs(spark, d), "ref_id", "bases"))
     return m.groupBy("read_id", "ref_id").agg(F.count(F.lit(1)).alias("n_seeds"))
 
 
@@ -421,6 +429,15 @@ def kreport_fraction(spark: SparkSession, d: str) -> DataFrame:
     return c.select("tid", F.round("clade", 6).alias("clade"), F.round("own", 6).alias("own"))
 
 
+def kreport_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Clade counts and percentages of a count table, the last line of a taxon counting (read_counts by batch)."""
+    lines_, resolved = tree(spark, d)
+    rows = table(spark, d, "read_counts").where("n_reads is not null").groupBy("tax_id", "batch_id").agg(F.max("n_reads").alias("count"))
+    own, total = report.from_count_table(rows.select(F.col("tax_id").alias("tid"), "count", F.col("batch_id").alias("place")))
+    c = taxonomy.clade_counts(own, resolved)
+    return c.join(F.broadcast(total)).select("tid", "clade", "own", F.round(100 * F.col("clade") / F.col("n_total"), 4).alias("pct"))
+
+
 def kreport_text(spark: SparkSession, d: str) -> DataFrame:
     known = tree(spark, d)
     lca = taxonomy.common_ancestors(best(spark, d), assign.READ, "tid", known[1])
@@ -523,7 +540,7 @@ def stream_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = [
-    seed_join, seed_runs, hit_score, occurrence_cap, exact_classification, revcomp, n_filter, trim_reads, kmer_encode, kmer_encode_whole, read_id_clean, phred, packed_taxids, rank_names,
+    seed_join, seed_runs, hit_score, occurrence_cap, exact_classification, revcomp, n_filter, trim_reads, pair_filters, kmer_encode, inspect_names, cleaned_records, size_override, kreport_counts, read_id_clean, phred, packed_taxids, rank_names,
     skip_upto, sample_reads, continuous_windows, fasta_fragments, inspect_fasta, inspect_summary, inspect_tree, conversion_table, genome_sizes, kmer_spectrum,
     distinct_kmers_exact, distinct_kmers_approx, taxon_kmers, merged_kmers_approx, species_groups, classification_rank, score_filter, one_strand, genome_sim_pairs, nonshared_regions, sequences_by_taxon, finalised_entries, best_ties, topk_assign, all_assign, no_traverse,
     random_assign, rollup_to_two, host_selection, finalised_sequences, unclassified_rows, second_best, num_matches, exclude_taxa, host_taxa, bounded_rollup, seqid_display, classified_split, output_table, tax_closure, tax_path, genus_of, pruned_tree,
@@ -532,18 +549,14 @@ QUERIES = [
 ]
 
 
-#: Queries whose SQL leaves out the rest of each record; over whole records they are named ..._whole.
-WHOLE = [seed_join, seed_runs, hit_score, occurrence_cap, one_strand, n_filter, trim_reads]
-
-
 def queries() -> dict:
-    return {f.__name__: f for f in QUERIES} | {f"{f.__name__}_whole": partial(f, of=whole_reads) for f in WHOLE}
+    return {f.__name__: f for f in QUERIES}
 
 
 # --- SQL
 
 REFS = "refs AS (SELECT seq_id AS ref_id, max(upper(bases)) AS bases FROM genome_seq WHERE seq_id IS NOT NULL AND bases IS NOT NULL GROUP BY 1), reft AS (SELECT DISTINCT r.ref_id, r.bases, g.tid, g.uid FROM refs r JOIN genome_seq g ON g.seq_id = r.ref_id)"
-READS = f"reads AS (SELECT ref_id * 1000 + w AS read_id, ref_id, substr(bases, w * {READ_LENGTH} + 1, {READ_LENGTH}) AS seq FROM (SELECT ref_id, bases, unnest(range(0, length(bases) // {READ_LENGTH})) AS w FROM refs))"
+READS = f"reads AS (SELECT ref_id * {WINDOWS} + w AS read_id, ref_id, substr(bases, w * {READ_LENGTH} + 1, {READ_LENGTH}) AS seq FROM (SELECT ref_id, bases, unnest(range(0, CAST(ceil(length(bases) / {READ_LENGTH}) AS BIGINT))) AS w FROM refs))"
 RC = "reverse(translate(upper({}), 'ACGTN', 'TGCAN'))"
 
 
@@ -641,6 +654,7 @@ SHARES = "tr AS (SELECT tax_id AS tid, coalesce(sum(n_reads), 0) AS n FROM read_
 
 
 def oracle_sql() -> dict[str, str]:
+    code = "CAST(list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(string_split({}, ''), lambda c: CAST(instr('ACGT', c) - 1 AS HUGEINT))), lambda a, c: a * 4 + c) AS BIGINT)"
     k31 = _kmers("refs", "ref_id", "bases", 31)
     spectrum = " UNION ALL ".join(f"SELECT {k} AS k, count(DISTINCT kmer) AS n_distinct, count(*) AS n_total FROM ({_kmers('refs', 'ref_id', 'bases', k)})" for k in range(1, 7))
     frag = "sp AS (SELECT ref_id, string_split_regex(bases, '[^ACGT]') AS a FROM refs), fr AS (SELECT ref_id, a[i] AS bases, i, CAST(coalesce(list_sum(list_transform(a[1 : i - 1], lambda x: length(x) + 1)), 0) AS BIGINT) AS ref_off FROM (SELECT ref_id, a, unnest(range(1, len(a) + 1)) AS i FROM sp))"
@@ -660,8 +674,18 @@ def oracle_sql() -> dict[str, str]:
         "occurrence_cap": f"{_seed_cte(2)} SELECT * FROM scores",
         "revcomp": f"WITH {REFS} SELECT ref_id, {RC.format('''regexp_replace(bases, '[^ACGT]', 'N', 'g')''')} AS rc FROM refs",
         "n_filter": f"WITH {REFS}, {READS} SELECT read_id, length(seq) - length(regexp_replace(seq, '[^ACGT]', '', 'g')) AS n_ambiguous, length(seq) - length(regexp_replace(seq, '[^ACGT]', '', 'g')) <= floor(0.15 * length(seq)) AS passes FROM reads",
-        "trim_reads": f"WITH {REFS}, {READS} SELECT read_id, substr(seq, 8, length(seq) - 12) AS seq FROM reads",
-        "kmer_encode": "WITH k AS (SELECT DISTINCT genome_id, substr(kmer, 1, 31) AS kmer FROM local_kmer) SELECT genome_id, kmer, CASE WHEN regexp_full_match(upper(kmer), '[ACGT]+') THEN CAST(list_reduce(list_prepend(CAST(0 AS HUGEINT), list_transform(string_split(upper(kmer), ''), lambda c: CAST(instr('ACGT', c) - 1 AS HUGEINT))), lambda a, c: a * 4 + c) AS BIGINT) END AS code FROM k",
+        "trim_reads": f"WITH {REFS}, {READS} SELECT read_id, substr(seq, 8, greatest(0, length(seq) - 12)) AS seq FROM reads",
+        "kmer_encode": f"WITH k AS (SELECT DISTINCT genome_id, kmer, coalesce(regexp_full_match(upper(kmer), '[ACGT]{{1,62}}'), false) AS good FROM local_kmer) SELECT genome_id, kmer, CASE WHEN good THEN {code.format('substr(upper(kmer), 1, 31)')} END AS code_1, CASE WHEN good AND length(kmer) > 31 THEN {code.format('substr(upper(kmer), 32)')} END AS code_2 FROM k",
+        "pair_filters": f"""WITH {REFS}, {READS}, x AS (SELECT *, read_id % {WINDOWS} AS w, length(regexp_replace(seq, '[ACGT]', '', 'g')) AS n, length(seq) AS l FROM reads)
+            SELECT a.read_id, a.n <= floor(0.15 * a.l) AND a.l >= 2 AND a.read_id % 3 <> 0 AS passes, coalesce(b.n <= floor(0.15 * b.l) AND b.l >= 2, false) AS passes2, a.n + coalesce(b.n, 0) <= floor(0.15 * (a.l + coalesce(b.l, 0))) AS passes_together
+            FROM x a LEFT JOIN x b ON b.ref_id = a.ref_id AND b.w = a.w + 1 WHERE a.w % 2 = 0""",
+        "inspect_names": f"WITH {REFS} SELECT coalesce(uid, CAST(ref_id AS VARCHAR)) AS name FROM reft",
+        "cleaned_records": f"WITH {REFS}, t AS (SELECT ref_id, concat_ws(' ', CASE WHEN coalesce(tid, 0) >> 32 = 0 THEN CAST(coalesce(tid, 0) AS VARCHAR) ELSE (tid & 4294967295) || '.' || (tid >> 32) END, uid) AS header, replace(bases, 'N', '') AS t FROM reft) SELECT ref_id, header, i AS line_no, substr(t, i * 80 + 1, 80) AS line FROM (SELECT *, unnest(range(0, CAST(ceil(length(t) / 80) AS BIGINT))) AS i FROM t WHERE t <> '')",
+        "size_override": f"WITH {REFS}, {SIZES} SELECT tid, CASE WHEN tid % 3 = 0 THEN size * 10 ELSE size END AS size FROM sizes",
+        "kreport_counts": f"""WITH RECURSIVE {TREE}, rows_ AS (SELECT tax_id, batch_id, max(n_reads) AS c FROM read_counts WHERE n_reads IS NOT NULL AND tax_id IS NOT NULL GROUP BY ALL), {_clades('SELECT tax_id AS tid, arg_max(c, batch_id) AS n FROM rows_ GROUP BY 1')}
+            SELECT tid, CAST(clade AS BIGINT) AS clade, CAST(own AS BIGINT) AS own, round(100 * clade / (SELECT sum(c) FROM rows_), 4) AS pct FROM clades""",
+        "rank_kendall": f"""{SEL}, {SHARES}, {rank_pairs}, z AS (SELECT *, row_number() OVER () AS i FROM pr), s AS (SELECT x.tax_rank, sum(sign(x.a - y.a) * sign(x.b - y.b)) AS s, sum(abs(sign(x.a - y.a))) AS ta, sum(abs(sign(x.b - y.b))) AS tb FROM z x JOIN z y ON x.tax_rank = y.tax_rank AND x.i < y.i GROUP BY 1)
+            SELECT r.tax_rank, CASE WHEN ta > 0 AND tb > 0 THEN round(s / sqrt(CAST(ta AS DOUBLE) * CAST(tb AS DOUBLE)), 6) END AS tau_b FROM (SELECT DISTINCT tax_rank FROM pr) r LEFT JOIN s USING (tax_rank)""",
         "read_id_clean": "SELECT pos_id, regexp_extract(regexp_replace(header, '^>', ''), '^([^\\s|]*(?:\\|[^\\s|]*)?)', 1) AS uid, regexp_replace(regexp_extract(regexp_replace(header, '^>', '') || '/1', '^(\\S*)', 1), '/[123]$', '') AS name FROM ac_to_pos",
         "phred": "SELECT pos_id, chr(CAST(33 + seq_len % 41 AS INT)) AS from64, chr(CAST(33 + seq_len % 41 AS INT)) AS fromint FROM ac_to_pos WHERE seq_len IS NOT NULL",
         "packed_taxids": "SELECT DISTINCT tid, CASE WHEN tid >> 32 = 0 THEN CAST(tid AS VARCHAR) ELSE (tid & 4294967295) || '.' || (tid >> 32) END AS shown, tid AS back FROM taxonomy_node WHERE tid IS NOT NULL",

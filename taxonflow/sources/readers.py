@@ -150,7 +150,8 @@ def nodes(spark: SparkSession, path: str) -> DataFrame:
     """(line_no, tid, parent_tid, tax_rank, leaf) of a nodes file; of the rank only the first word counts."""
     t = _numbered(spark.read.text(path)).withColumn("f", F.split("value", r"\s*\|\s*")).where(F.size("f") >= 3)
     f = lambda i: F.trim(F.get("f", F.lit(i)))
-    return t.select(F.col("rdid").alias("line_no"), f(0).cast("bigint").alias("tid"), f(1).cast("bigint").alias("parent_tid"), F.substring_index(f(2), " ", 1).alias("tax_rank"), F.lit(False).alias("leaf"))
+    word = F.substring_index(f(2), " ", 1)
+    return t.select(F.col("rdid").alias("line_no"), f(0).cast("bigint").alias("tid"), f(1).cast("bigint").alias("parent_tid"), F.when(word == "no", "no rank").otherwise(word).alias("tax_rank"), F.lit(False).alias("leaf"))
 
 
 def names(spark: SparkSession, path: str) -> DataFrame:

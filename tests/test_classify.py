@@ -180,7 +180,7 @@ def test_whole_kmers_are_encoded(spark, tmp_path):
     spark.createDataFrame(rows, "genome_id long, kmer string").write.parquet(f"{tmp_path}/local_kmer.parquet")
     number = lambda s: int("".join(str("ACGT".index(c)) for c in s.upper()), 4)
     want = {(g, t, *((number(t[:31]), number(t[31:]) if len(t) > 31 else None) if t and set(t.upper()) <= set("ACGT") else (None, None))) for g, t in rows}
-    got = [tuple(r) for r in catalog.kmer_encode_whole(spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in catalog.kmer_encode(spark, str(tmp_path)).collect()]
     assert set(got) == want and len(got) == len(want)
 
 
@@ -190,13 +190,12 @@ def test_whole_reads_are_whole(spark, tmp_path):
     texts = {1: _dna(rng, 250), 2: _dna(rng, 40), 3: _dna(rng, 100), 5: _dna(rng, 100_250), 6: _dna(rng, 99)}
     rows = [(i, f"u{i}", i, len(t), t) for i, t in texts.items()]
     spark.createDataFrame(rows, "seq_id long, uid string, tid long, seq_length long, bases string").write.parquet(f"{tmp_path}/genome_seq.parquet")
-    reads = catalog.whole_reads(spark, str(tmp_path)).collect()
+    reads = catalog.reads(spark, str(tmp_path)).collect()
     assert len({r["read_id"] for r in reads}) == len(reads)
     for i, t in texts.items():
         assert "".join(r["seq"] for r in sorted(reads, key=lambda r: r["read_id"]) if r["ref_id"] == i) == t
     own = {r["ref_id"]: r["read_id"] for r in reads}  # the last read of each record
     got = {(r["read_id"], r["ref_id"]): r["hit_len"] for r in catalog.exact_classification(spark, str(tmp_path)).collect()}
-    scored = {(r["read_id"], r["ref_id"]): r["hit_len"] for r in catalog.queries()["hit_score_whole"](spark, str(tmp_path)).collect()}
+    scored = {(r["read_id"], r["ref_id"]): r["hit_len"] for r in catalog.hit_score(spark, str(tmp_path)).collect()}
     for i, t in texts.items():
         assert got[own[i], i] == scored[own[i], i] == (len(t) % 100 or 100)
-    assert {k.removesuffix("_whole") for k in catalog.queries() if k.endswith("_whole")} <= set(catalog.queries())

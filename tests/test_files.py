@@ -60,7 +60,7 @@ def test_other_formats(spark, tmp_path):
 
 def test_tables_of_the_index(spark, tmp_path):
     n = _write(tmp_path, "nodes.dmp", "1\t|\t1\t|\tno rank\t|\n2\t|\t1\t|\tspecies\t|\n2\t|\t9\t|\tgenus\t|\n")
-    assert [(r["tid"], r["parent_tid"], r["tax_rank"]) for r in readers.nodes(spark, n).orderBy("line_no").collect()] == [(1, 1, "no"), (2, 1, "species"), (2, 9, "genus")]
+    assert [(r["tid"], r["parent_tid"], r["tax_rank"]) for r in readers.nodes(spark, n).orderBy("line_no").collect()] == [(1, 1, "no rank"), (2, 1, "species"), (2, 9, "genus")]
     m = _write(tmp_path, "names.dmp", "1\t|\troot\t|\t\t|\tscientific name\t|\n2\t|\told\t|\t\t|\tscientific name\t|\n2\t|\tnew\t|\t\t|\tscientific name\t|\n2\t|\tsyn\t|\t\t|\tsynonym\t|\n")
     assert {r["tid"]: r["name"] for r in readers.names(spark, m).collect()} == {1: "root", 2: "new"}
     c = _write(tmp_path, "conv.tsv", "# comment\na\t5\nb  7.2\na\t6\n")
