@@ -23,11 +23,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxonflow.session import cut_lineage
+from taxonflow.session import cut_lineage, n_tasks
 
 REGISTERS = 65_536
 STEPS = 512  #: registers' values for each halving of u
 BLOCK = 128  #: sets in a block
+LEAST_BLOCK = 16
 
 
 def members(df: DataFrame, group: str, identifier: Column) -> DataFrame:
@@ -123,35 +124,21 @@ def _compare(m: int):
 
 
 def overlaps(sketched: DataFrame, m: int = REGISTERS, block: int = BLOCK) -> DataFrame:
-    """(a, b, n_a, n_b, shared, std_error) of every pair a < b of sets; only_a = n_a - shared, only_b = n_b - shared."""
+    """(a, b, n_a, n_b, shared, std_error) of every pair a < b of sets; only_a = n_a - shared, only_b = n_b - shared.
+
+    A block has at most about ``block`` sets, and fewer where otherwise the pairs of blocks would be fewer than the tasks.
+    """
     sketched = cut_lineage(sketched)
-    blocks = max(1, -(-sketched.count() // block))
+    n = sketched.count()
+    spread = int(np.ceil(np.sqrt(2 * n_tasks(sketched.sparkSession))))  # so many blocks have as many pairs as there are tasks
+    blocks = max(1, -(-n // block), min(spread, n // LEAST_BLOCK))
     numbered = sketched.withColumn("block", F.pmod(F.xxhash64("grp"), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     sent = numbered.withColumn("o", other).select(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "grp", "regs")
     return sent.groupBy("i", "j").applyInPandas(_compare(m), "a long, b long, n_a double, n_b double, shared double, std_error double")
 
 
-def exact_shared(hashed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, shared, n_small): exact numbers for a few pairs, by looking the smaller set's members up in the larger.
-
-    The smaller sets' rows are repeated once for each of their pairs; the larger sets' rows are not.
-    """
-    p = pairs.select("a", "b", F.when(F.col("n_a") <= F.col("n_b"), F.col("a")).otherwise(F.col("b")).alias("small"), F.when(F.col("n_a") <= F.col("n_b"), F.col("b")).otherwise(F.col("a")).alias("big"))
-    small = hashed.join(p, F.col("grp") == F.col("small")).select("a", "b", "big", "h").distinct()
-    big = hashed.join(p.select("big").distinct(), F.col("grp") == F.col("big"), "left_semi").select(F.col("grp").alias("g"), F.col("h").alias("k")).distinct()
-    hit = small.join(big, (F.col("big") == F.col("g")) & (F.col("h") == F.col("k")), "left")
-    return hit.groupBy("a", "b").agg(F.count("k").alias("shared"), F.count(F.lit(1)).alias("n_small"))
-
-
-def sharing_pairs(df: DataFrame, group: str, identifier: Column, share: float, m: int = REGISTERS, sigmas: float = 4.0) -> DataFrame:
-    """(a, b) of pairs that share at least ``share`` of the smaller set. Estimates within ``sigmas`` standard errors of
-    the line are settled by exact look-up; all others by the sketches."""
-    hashed = members(df, group, identifier)
-    est = cut_lineage(overlaps(sketches(hashed, m), m))
-    line = F.lit(share) * F.least("n_a", "n_b")
-    sure, open_ = est.where(F.col("shared") - line >= sigmas * F.col("std_error")), est.where(F.abs(F.col("shared") - line) < sigmas * F.col("std_error"))
-    settled = exact_shared(hashed, open_).where(F.col("shared") >= F.lit(share) * F.col("n_small"))
-    return sure.select("a", "b").unionByName(settled.select("a", "b"))
-
-
+def sharing_pairs(df: DataFrame, group: str, identifier: Column, share: float, m: int = REGISTERS) -> DataFrame:
+    """(a, b) of pairs whose estimated shared number is at least ``share`` of the smaller set's estimated size."""
+    est = overlaps(sketches(members(df, group, identifier), m), m)
+    return est.where(F.col("shared") >= F.lit(share) * F.least("n_a", "n_b")).select("a", "b")
