@@ -1,8 +1,9 @@
 """References to records that do not exist, by table and period, with a skew-aware split.
 
-References are pre-aggregated per key and period. Keys that hold at least ``hot_share`` of the references (so at most
-``1 / hot_share`` of them) are checked against a broadcast of their own targets' state; all other keys go through a
-shuffle. Both parts are united. Rows are never dropped or capped.
+References are pre-aggregated per key and period. Keys that hold more than a quarter of a task's even share of the rows
+are heavy; there can be no more than four times as many as tasks, so they are broadcast, and checked apart from the others:
+rows of heavy keys never leave their place. All other keys go through a shuffle. Both parts are united. Rows are never
+dropped or capped. Where targets have lifetimes, a heavy key's references and targets are ordered hour by hour.
 
 Defined results: a null key is no reference; a null reference time gives a null month and, where targets have a
 lifetime, an orphan (nothing is known to exist then); targets without a start never exist; repeated references each
@@ -14,9 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from taxonflow.session import month_of
+from taxonflow.session import cut_lineage, month_of, n_tasks
 
-HOT_SHARE = 0.01
 BLANKS = " \t\r\n\f\v"
 
 
@@ -35,44 +35,33 @@ def per_period(refs: DataFrame) -> DataFrame:
     return refs.groupBy("key", month_of("at").alias("ref_month")).agg(F.count(F.lit(1)).alias("n_refs"))
 
 
-def heavy_keys(refs: DataFrame, hot_share: float = HOT_SHARE) -> list:
-    """Keys with at least ``hot_share`` of the references: at most 1 / hot_share values reach the driver."""
+def heavy_keys(refs: DataFrame, tasks: int | None = None) -> DataFrame:
+    """(heavy): keys with more than a quarter of a task's even share of the rows, so at most 4 * tasks; written once."""
+    tasks = tasks or n_tasks(refs.sparkSession)
     per_key = per_period(refs).groupBy("key").agg(F.sum("n_refs").alias("n"))
     whole = per_key.agg(F.sum("n").alias("all_refs"))
-    return [r[0] for r in per_key.join(F.broadcast(whole)).where(F.col("n") >= F.lit(hot_share) * F.col("all_refs")).select("key").collect()]
+    return cut_lineage(per_key.join(F.broadcast(whole)).where(F.col("n") * (4 * tasks) > F.col("all_refs")).select(F.col("key").alias("heavy")))
 
 
-def _split(df: DataFrame, keys: list) -> tuple[DataFrame | None, DataFrame]:
-    if not keys:
-        return None, df
-    return df.where(F.col("key").isin(keys)), df.where(~F.col("key").isin(keys))
+def _missing(rows: DataFrame, target_keys: DataFrame, heavy: DataFrame) -> DataFrame:
+    """The rows whose key no target has: heavy keys looked up by broadcast, the others by a shuffled anti-join."""
+    heavy_ = F.broadcast(heavy)
+    is_heavy = F.col("key") == F.col("heavy")
+    targets = target_keys.select("key").where(F.col("key").isNotNull())
+    present = targets.join(heavy_, is_heavy, "left_semi").distinct().withColumnRenamed("key", "present")
+    lost = heavy.join(F.broadcast(present), F.col("heavy") == F.col("present"), "left_anti")
+    rest = rows.join(heavy_, is_heavy, "left_anti").join(targets.join(heavy_, is_heavy, "left_anti").distinct(), "key", "left_anti")
+    return rest.unionByName(rows.join(F.broadcast(lost), is_heavy, "left_semi"))
 
 
-def without_target(refs: DataFrame, target_keys: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
+def without_target(refs: DataFrame, target_keys: DataFrame, tasks: int | None = None) -> DataFrame:
     """References whose key no target has. ``target_keys`` has one column, key. Columns of ``refs`` are kept."""
-    keys = heavy_keys(refs, hot_share)
-    hot, rest = _split(refs, keys)
-    targets = target_keys.select("key").where(F.col("key").isNotNull())
-    if keys:
-        present = {r[0] for r in targets.where(F.col("key").isin(keys)).distinct().collect()}  # at most 1 / hot_share
-        missing = [k for k in keys if k not in present]
-        targets = targets.where(~F.col("key").isin(keys))
-    out = rest.join(targets.distinct(), "key", "left_anti")
-    return out.unionByName(hot.where(F.col("key").isin(missing))) if keys and missing else out
+    return _missing(refs, target_keys, heavy_keys(refs, tasks))
 
 
-def orphan_counts(refs: DataFrame, target_keys: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
+def orphan_counts(refs: DataFrame, target_keys: DataFrame, tasks: int | None = None) -> DataFrame:
     """(key, ref_month, n_refs) of the orphans, from the pre-aggregated references alone."""
-    grouped = per_period(refs)
-    keys = heavy_keys(refs, hot_share)
-    hot, rest = _split(grouped, keys)
-    targets = target_keys.select("key").where(F.col("key").isNotNull())
-    out = rest.join(targets.distinct(), "key", "left_anti")
-    if not keys:
-        return out
-    present = {r[0] for r in targets.where(F.col("key").isin(keys)).distinct().collect()}
-    missing = [k for k in keys if k not in present]
-    return out.unionByName(hot.where(F.col("key").isin(missing))) if missing else out
+    return _missing(per_period(refs), target_keys, heavy_keys(refs, tasks))
 
 
 def lifetimes(df: DataFrame, key: Column, start: str, end: str) -> DataFrame:
@@ -82,35 +71,25 @@ def lifetimes(df: DataFrame, key: Column, start: str, end: str) -> DataFrame:
     return moves.select("key", "m.at", "m.delta").where("at is not null").groupBy("key", "at").agg(F.sum("delta").alias("delta"))
 
 
-def not_alive(refs: DataFrame, moves: DataFrame, hot_share: float = HOT_SHARE) -> DataFrame:
+def not_alive(refs: DataFrame, moves: DataFrame, tasks: int | None = None) -> DataFrame:
     """References at a moment at which no target of their key exists. Columns: key, row_id, at.
 
     References and lifetimes are merged in order of time and the number of living targets is a running sum, so a key's
-    references and targets never multiply. Heavy keys (of either side) are ordered day by day, with the living number
-    at the start of each day broadcast: at most 2 / hot_share keys times the days of the data.
+    references and targets never multiply. A heavy key is cut into hours; what lives when an hour begins comes from the
+    sums of the hours before it and stands first in the hour as one more row.
     """
-    keys = sorted({*heavy_keys(refs, hot_share), *heavy_keys(moves.withColumn("row_id", F.lit(0).cast("bigint")), hot_share)})
+    none = F.lit(None).cast("bigint")
     events = refs.select("key", "at", "row_id", F.lit(0).cast("bigint").alias("delta"), F.lit(1).alias("is_ref")).unionByName(
-        moves.select("key", "at", F.lit(None).cast("bigint").alias("row_id"), F.col("delta").cast("bigint").alias("delta"), F.lit(0).alias("is_ref"))
+        moves.select("key", "at", none.alias("row_id"), F.col("delta").cast("bigint").alias("delta"), F.lit(0).alias("is_ref"))
     )
-    hot, rest = _split(events, keys)
-    order = [F.col("at").asc_nulls_first(), F.col("is_ref")]
-
-    def orphans(df: DataFrame, by: list[str], before: Column) -> DataFrame:
-        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        alive = df.withColumn("alive", F.sum("delta").over(w) + before)
-        return alive.where("is_ref = 1 and alive <= 0").select("key", "row_id", "at")
-
-    out = orphans(rest, ["key"], F.lit(0))
-    if hot is None:
-        return out
-    by_day = moves.where(F.col("key").isin(keys)).groupBy(F.col("key").alias("k"), F.to_date("at").alias("d")).agg(F.sum("delta").alias("delta"))
-    days = hot.select(F.col("key").alias("k"), F.to_date("at").alias("d")).distinct().join(by_day, ["k", "d"], "left").na.fill(0, ["delta"])
-    sofar = Window.partitionBy("k").orderBy(F.col("d").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    start = days.select("k", "d", F.coalesce(F.sum("delta").over(sofar), F.lit(0)).alias("before"))
-    hot = hot.withColumn("day", F.to_date("at"))
-    hot = hot.join(F.broadcast(start), (F.col("key") == F.col("k")) & F.col("day").eqNullSafe(F.col("d")), "left")
-    return out.unionByName(orphans(hot, ["key", "day"], F.coalesce(F.col("before"), F.lit(0))))
+    heavy = F.broadcast(heavy_keys(events.select("key", "at"), tasks))
+    sliced = events.join(heavy, F.col("key") == F.col("heavy"), "left").withColumn("hour", F.when(F.col("heavy").isNotNull(), F.date_trunc("hour", "at"))).drop("heavy")
+    sums = sliced.where("hour is not null").groupBy("key", "hour").agg(F.sum("delta").alias("delta"))
+    before = F.sum("delta").over(Window.partitionBy("key").orderBy("hour").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.select("key", F.lit(None).cast("timestamp").alias("at"), none.alias("row_id"), F.coalesce(before, F.lit(0)).alias("delta"), F.lit(0).alias("is_ref"), "hour")
+    order = Window.partitionBy("key", "hour").orderBy(F.col("at").asc_nulls_first(), "is_ref").rowsBetween(Window.unboundedPreceding, 0)
+    alive = sliced.unionByName(starts.withColumn("at", F.col("at").cast(dict(refs.dtypes)["at"]))).withColumn("alive", F.sum("delta").over(order))
+    return alive.where("is_ref = 1 and alive <= 0").select("key", "row_id", "at")
 
 
 def named(orphans: DataFrame, name: str) -> DataFrame:
