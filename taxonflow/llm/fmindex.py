@@ -1,6 +1,7 @@
 """A compressed FM-index over a shard of sequence segments: wavelet bit vectors, backward search, matching statistics.
 
-The text is the shard's segments, each followed by a separator of its own. Letters are 1 to 4 (A, C, G, T); separators
+Beside the wavelet bits, about 24 bytes a letter in 32-bit arrays say which record a suffix is of and how an interval
+widens. The text is the shard's segments, each followed by a separator of its own. Letters are 1 to 4 (A, C, G, T); separators
 and all other letters are 0 and match nothing. The Burrows-Wheeler transform is kept in a wavelet matrix of packed bit
 vectors with running counts. All operations work on arrays of queries at once.
 """
@@ -128,10 +129,11 @@ class FMIndex:
     """Index of one shard. ``owner`` is the record number of each letter of the text."""
 
     def __init__(self, text: np.ndarray, owner: np.ndarray):
-        self.text, self.owner, self.n = text, owner, len(text)
+        self.text, self.owner, self.n = text, owner.astype(np.int32), len(text)
         sa, keys = suffix_array(text)
-        self.lcp = common_prefixes(sa, text, keys)
-        self.up, self.down = nearest_smaller(self.lcp)
+        lcp = common_prefixes(sa, text, keys)
+        self.up, self.down = (x.astype(np.int32) for x in nearest_smaller(lcp))
+        self.lcp = lcp.astype(np.int32)
         before = text[sa - 1]
         before[sa == 0] = 0
         self.wavelet = WaveletMatrix(before)
@@ -139,9 +141,9 @@ class FMIndex:
         self.first = np.concatenate([[0], np.cumsum(counts)[:-1]])
         # places of the wavelet matrix's last level where each code starts
         self.base = self.wavelet.rank(np.arange(5), np.zeros(5, np.int64))
-        self.doc = owner[sa]
+        self.doc = self.owner[sa]
         change = np.append(np.flatnonzero(np.diff(self.doc)) + 1, self.n)
-        self.run_end = change[np.searchsorted(change, np.arange(self.n), side="right")]
+        self.run_end = change[np.searchsorted(change, np.arange(self.n), side="right")].astype(np.int32)
 
     def step(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Backward step of an interval's border."""

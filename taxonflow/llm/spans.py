@@ -8,7 +8,11 @@ FM-index is built and backward search computes, for each letter, the longest mat
 matches of at least ``span`` letters are reported and united for each record.
 
 Minimizers with more than ``hot`` segments would overfill a shard. Their windows (at most ``span - k + 1`` for each
-segment) are hashed and grouped instead, with partial aggregation, which is exact and linear for any number of copies.
+segment) are packed, two bits a letter, and grouped letter for letter instead, with partial aggregation, which gives the
+same rows and is linear for any number of copies.
+
+Long records are worked on in pieces of ``RECORD_LETTERS`` letters that overlap by a window less one letter, so no task
+holds a whole one.
 
 Defined results: null ids and texts are no records; letters other than A, C, G, T (case ignored) match nothing; rows
 with the same id are one record (if their texts differ, the largest text in string order); an empty table or records
@@ -33,6 +37,7 @@ K = 31
 SHARD_LETTERS = 600_000
 HOT = 2_000
 PIECE = 512
+RECORD_LETTERS = 1_000_000
 _CODE = np.zeros(256, np.uint8)
 for _i, _c in enumerate("ACGT"):
     _CODE[ord(_c)] = _CODE[ord(_c.lower())] = _i + 1
@@ -89,14 +94,13 @@ def minimizers(code: np.ndarray, span: int, k: int) -> tuple[np.ndarray, np.ndar
 def _find_minimizers(span: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, at, hashes = [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            cols = [], [], [], []
+            for i, base, t in zip(*(b.column(c).to_pylist() for c in range(3))):
                 p, h = minimizers(codes(t), span, k)
-                ids.append(np.full(len(p), i, np.int64))
-                at.append(p)
-                hashes.append(h)
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, at, hashes)], names=["rec", "at", "h"])
+                for c, x in zip(cols, (np.full(len(p), i, np.int64), np.full(len(p), base, np.int64), p, h)):
+                    c.append(x)
+            if cols[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in cols], names=["rec", "base", "at", "h"])
 
     return run
 
@@ -107,42 +111,57 @@ def _cut(span: int, k: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for rec, text, anchors in zip(*(b.column(c).to_pylist() for c in range(3))):
-                anchors.sort(key=lambda a: (a["h"] % shards, a["at"]))
-                last = None
-                for a in anchors:
-                    s, lo, hi = a["h"] % shards, max(0, a["at"] - span + k), min(len(text), a["at"] + span)
-                    if last and last[0] == s and last[3] >= lo:
-                        last[3] = max(last[3], hi)
-                    else:
-                        last = [s, rec, lo, hi, text]
-                        out.append(last)
+            ats, hs = _lists(b, 3), _lists(b, 4)
+            for rec, base, text, at, h in zip(*(b.column(c).to_pylist() for c in range(3)), ats, hs):
+                shard = h % shards
+                order = np.lexsort((at, shard))
+                shard, lo, hi = shard[order], np.maximum(0, at[order] - span + k), np.minimum(len(text), at[order] + span)
+                # places rise within a shard, and all segments have about one length, so each reaches furthest yet
+                fresh = np.flatnonzero(np.append(True, (shard[1:] != shard[:-1]) | (lo[1:] > hi[:-1])))
+                last = np.append(fresh[1:], len(order)) - 1
+                out += [(int(shard[i]), rec, base + int(lo[i]), text[lo[i] : hi[j]]) for i, j in zip(fresh, last)]
             if out:
-                cols = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), pa.array([o[4][o[2] : o[3]] for o in out], pa.string())]
+                cols = [pa.array([o[c] for o in out], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["shard", "rec", "start", "seg"])
 
     return run
 
 
+def _lists(b: pa.RecordBatch, column: int) -> list[np.ndarray]:
+    """The rows of a list column as arrays."""
+    c = b.column(column)
+    flat, at = c.flatten().to_numpy(zero_copy_only=False), c.offsets.to_numpy() - c.offsets[0].as_py()
+    return [flat[i:j] for i, j in zip(at, at[1:])]
+
+
+def packed_windows(code: np.ndarray, at: np.ndarray, span: int) -> list[bytes]:
+    """The windows that start at the given places, two bits a letter; they hold A, C, G, T only."""
+    bits = np.empty((len(code), 2), np.uint8)
+    bits[:, 0], bits[:, 1] = (code - 1) >> 1 & 1, (code - 1) & 1
+    every = np.lib.stride_tricks.sliding_window_view(bits.ravel(), 2 * span)[::2]
+    out: list[bytes] = []
+    for a in range(0, len(at), 20_000):
+        rows = np.packbits(every[at[a : a + 20_000]], axis=1)
+        out += [r.tobytes() for r in rows]
+    return out
+
+
 def _windows(span: int, k: int):
-    """Hashes of all windows around hot minimizers."""
+    """All windows around hot minimizers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            recs, at, hashes = [], [], []
-            for rec, text, anchors in zip(*(b.column(c).to_pylist() for c in range(3))):
+            for rec, base, text, anchors in zip(*(b.column(c).to_pylist() for c in range(3)), _lists(b, 3)):
                 code = codes(text)
-                h = kmer_hashes(code, span)
-                near = np.zeros(len(h) + 1, np.int64)
-                for a in anchors:
-                    near[max(0, a["at"] - span + k)] += 1
-                    near[min(len(h), a["at"] + 1)] -= 1
-                p = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (h >= 0))
-                recs.append(np.full(len(p), rec, np.int64))
-                at.append(p)
-                hashes.append(h[p])
-            if recs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (recs, at, hashes)], names=["rec", "at", "w"])
+                n = len(code) - span + 1
+                near = np.zeros(n + 1, np.int64)
+                np.add.at(near, np.maximum(0, anchors - span + k), 1)
+                np.add.at(near, np.minimum(n, anchors + 1), -1)
+                bad = np.concatenate([[0], np.cumsum(code == 0)])
+                p = np.flatnonzero((np.cumsum(near)[:-1] > 0) & (bad[span:] == bad[:-span]))
+                for a in range(0, len(p), 50_000):
+                    q = p[a : a + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q), rec, np.int64)), pa.array(base + q), pa.array(packed_windows(code, q, span), pa.binary())], names=["rec", "at", "w"])
 
     return run
 
@@ -198,21 +217,24 @@ def shared_runs(records: DataFrame, rec: str, text: str, span: int = SPAN, k: in
     if not 0 < k <= span:
         raise ValueError("k must be between 1 and span")
     one = records.select(F.col(rec).cast("long").alias("rec"), F.col(text).alias("text")).where("rec is not null and text is not null").groupBy("rec").agg(F.max("text").alias("text"))
-    one = one.where(F.length("text") >= span)
-    anchors = cut_lineage(one.mapInArrow(_find_minimizers(span, k), "rec long, at long, h long"))
+    base = F.explode(F.sequence(F.lit(0), F.length("text") - span, F.lit(RECORD_LETTERS)))
+    one = one.where(F.length("text") >= span).select("rec", base.alias("base"), "text")
+    one = one.select("rec", F.col("base").cast("long").alias("base"), F.substring("text", F.col("base") + 1, F.lit(RECORD_LETTERS + span - 1)).alias("text"))
+    anchors = cut_lineage(one.mapInArrow(_find_minimizers(span, k), "rec long, base long, at long, h long"))
     per = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("rec").alias("a"), F.max("rec").alias("b")).where("a <> b").select(F.col("h").alias("kept"), "n")
-    kept = cut_lineage(anchors.join(per, F.col("h") == F.col("kept")).select("rec", "at", "h", (F.col("n") > hot).alias("is_hot")))
+    kept = cut_lineage(anchors.join(per, F.col("h") == F.col("kept")).select("rec", "base", "at", "h", (F.col("n") > hot).alias("is_hot")))
     n = kept.where("not is_hot").count()
     shards = max(1, -(-n * (2 * span - k) // shard_letters))
 
     def with_text(hits: DataFrame) -> DataFrame:
-        per_record = hits.groupBy("rec").agg(F.collect_list(F.struct("at", "h")).alias("anchors"))  # bounded by the record's length
-        return one.join(per_record, "rec").select("rec", "text", "anchors")
+        # two lists from one pass, in one order; they are no longer than the piece
+        per_piece = hits.groupBy("rec", "base").agg(F.collect_list(F.struct("at", "h")).alias("x"))
+        return one.join(per_piece, ["rec", "base"]).select("rec", "base", "text", F.col("x.at").alias("at"), F.col("x.h").alias("h"))
 
     segments = with_text(kept.where("not is_hot")).mapInArrow(_cut(span, k, shards), "shard long, rec long, start long, seg string")
     found = segments.groupBy("shard").applyInPandas(_search(span), "rec long, s long, e long")
     if kept.where("is_hot").limit(1).count():
-        w = with_text(kept.where("is_hot")).mapInArrow(_windows(span, k), "rec long, at long, w long")
+        w = with_text(kept.where("is_hot")).mapInArrow(_windows(span, k), "rec long, at long, w binary")
         again = w.groupBy("w").agg(F.min("rec").alias("a"), F.max("rec").alias("b")).where("a <> b").select("w")
         found = found.unionByName(w.join(again, "w", "left_semi").select("rec", F.col("at").alias("s"), (F.col("at") + span).alias("e")))
     order = Window.partitionBy("rec").orderBy("s", "e")
