@@ -6,8 +6,10 @@ number of documents with each item shingle. Second pass: only the windows' rares
 documents; the length bound (both sides must reach ``span`` words around the match) and the position of the shingle in
 its window leave one place to look at, where all words are compared.
 
-The items are the stated query set. They are read in blocks of at most ``BLOCK_BYTES`` of text, so what is sent to the
-tasks has that bound whatever the number of items. Each document is worked on whole by one task; text is never cut.
+The items are the stated query set. They are read in blocks of about ``BLOCK_BYTES`` of text. A block's texts, and the
+number of documents of each of its shingles, are what is sent to the tasks: about three times the text, so some 12 MB;
+each task builds the look-up tables from them (some fourteen times the text) for itself. The corpus is read twice for
+each block. Each document is worked on whole by one task; text is never cut.
 
 Words are the maximal runs of ASCII letters and digits after lower-casing. Defined results: null texts and ids match
 nothing; items or documents of fewer than ``span`` words match nothing; copies of a document each match; an item whose
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 SHINGLE = 5
 SPAN = 25
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 CHUNK = 4_000_000
 BASE, STEP = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xC2B2AE3D27D4EB4F)
 _WORD = np.zeros(256, bool)
@@ -115,7 +117,18 @@ class Items:
     """One block of items: their words, shingles and windows."""
 
     def __init__(self, ids: list[int], texts: list[bytes], span: int):
-        self.ids, self.texts, self.span = np.array(ids, np.int64), texts, span
+        self.given = (ids, texts, span)
+        self._build(*self.given)
+
+    def __getstate__(self):
+        return self.given
+
+    def __setstate__(self, given):
+        self.given = given
+        self._build(*given)
+
+    def _build(self, ids: list[int], texts: list[bytes], span: int) -> None:
+        self.ids, self.span = np.array(ids, np.int64), span
         offsets = np.cumsum([0, *map(len, texts)])
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.start, self.end, self.hash, self.item = words(self.data, offsets)
@@ -129,7 +142,7 @@ class Items:
         """The rarest shingle of each window: look-up, and by member the windows' first words and offsets of the shingle."""
         at = self.window[:, None] + np.arange(self.span - SHINGLE + 1)
         key = np.searchsorted(self.lookup.keys, self.shingle[at]) if len(self.window) else at
-        rank = documents[key] * np.int64(len(self.lookup.keys) + 1) + key  # rarity, then one fixed order
+        rank = documents[key].astype(np.int64) * np.int64(len(self.lookup.keys) + 1) + key  # rarity, then one fixed order
         best = rank.argmin(1) if len(self.window) else np.zeros(0, np.int64)
         chosen = self.shingle[self.window + best]
         table = Lookup(chosen)
@@ -154,9 +167,8 @@ def _rarity(items: Items):
 
 
 def _matches(items: Items, documents: np.ndarray):
-    table, first, window, offset = items.prefixes(documents)
-
-    def one(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> dict[tuple[int, int], int]:
+    def one(tables: tuple, data: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> dict[tuple[int, int], int]:
+        table, first, window, offset = tables
         start, end, h, text = words(data, offsets)
         at, k = table.find(shingles(h, text))
         if not len(at):
@@ -186,10 +198,11 @@ def _matches(items: Items, documents: np.ndarray):
         return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = items.prefixes(documents)
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for a, data, offsets in _buffers(b.column(1)):
-                found = one(data, offsets, ids[a:])
+                found = one(tables, data, offsets, ids[a:])
                 if found:
                     doc, item = zip(*found)
                     yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array([*found.values()], pa.int64())], names=["doc_id", "item_id", "n_words"])
@@ -212,7 +225,7 @@ def leaks(docs: DataFrame, items: DataFrame, span: int = SPAN, block_bytes: int
     for k in range(blocks):
         rows = (known if blocks == 1 else known.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)).collect()  # about block_bytes of text
         block = Items([r[0] for r in rows], [r[1].encode() for r in rows], span)
-        documents = np.zeros(len(block.lookup.keys) + 1, np.int64)
+        documents = np.zeros(len(block.lookup.keys) + 1, np.int32)
         if len(block.window):
             counted = corpus.select("text").mapInArrow(_rarity(block), "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
             for r in counted.collect():  # at most one row for each item shingle of the block

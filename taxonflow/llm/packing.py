@@ -2,9 +2,11 @@
 
 Documents are measured in tokens of a public tokenizer and spread over shards by a hash of their id; each shard is packed
 by itself. Within a shard the items go in falling order into the open sequence with the least room that still takes
-them; if none does, a new sequence is opened. Which length to open is decided jointly: the shard is packed once for each
-permitted least opening length, every sequence is then downsized to the shortest permitted length that holds its
-contents, and the packing with the least total length is taken. A document is cut only if it alone exceeds the longest
+them, whatever its length; if none does, a new sequence is opened. Of the permitted lengths that hold the item the one is
+opened whose cost a token is least, filled with what is still to be placed: a sequence of length L costs
+``PER_SEQUENCE`` + L + L^2 / ``ATTENTION``, a fixed part, one for each place, and one for the pairs of places. Long items so
+open long sequences, short ones the length that is cheapest for them, and the last ones no more than they need. At the end
+every sequence is downsized to the shortest permitted length that holds its contents. A document is cut only if it alone exceeds the longest
 length, into full sequences and one rest. A shard leaves few part-filled sequences, so with ``SHARD_ROWS`` documents to
 a shard the loss from sharding is far below one part in a thousand.
 
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 LENGTHS = (512, 1024, 2048, 4096)
 SHARD_ROWS = 50_000
+PER_SEQUENCE, ATTENTION = 128, 8192
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-split pattern published with this vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -53,12 +56,16 @@ def token_counts(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long")
 
 
-def best_fit(sizes: list[int], lengths: tuple[int, ...], opening: int) -> tuple[list[int], list[int]]:
-    """The bin of each of ``sizes`` (which fall), and each bin's contents. New bins have the least permitted length that is
-    at least ``opening`` and holds the item. A bit mask of the rooms in use finds the least one that fits."""
+def cost(length: int) -> float:
+    return PER_SEQUENCE + length + length * length / ATTENTION
+
+
+def best_fit(sizes: list[int], lengths: tuple[int, ...]) -> tuple[list[int], list[int]]:
+    """The bin of each of ``sizes`` (which fall), and each bin's contents. A bit mask of the rooms in use finds the least
+    one that fits."""
     by_room: dict[int, list[int]] = {}
-    rooms, where, used = 0, [], []
-    steps = [c for c in lengths if c >= opening]
+    rooms, where, used, rest = 0, [], [], sum(sizes)
+    price = [(c, cost(c)) for c in lengths]
     for s in sizes:
         fitting = rooms >> s
         if fitting:
@@ -68,9 +75,10 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...], opening: int) -> tuple[
             if not stack:
                 rooms ^= 1 << room
         else:
-            room, b = next(c for c in steps if c >= s), len(used)
+            room, b = min((p / min(c, rest), c) for c, p in price if c >= s)[1], len(used)
             used.append(0)
         used[b] += s
+        rest -= s
         where.append(b)
         left = room - s
         if left:
@@ -82,16 +90,9 @@ def best_fit(sizes: list[int], lengths: tuple[int, ...], opening: int) -> tuple[
 def pack(sizes: np.ndarray, lengths: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each size (none above the longest length): bin, start within the bin, final length of the bin."""
     order = np.argsort(-sizes, kind="stable")
-    falling = sizes[order].tolist()
     permitted = np.array(lengths)
-    best = None
-    for opening in lengths:
-        where, used = best_fit(falling, lengths, opening)
-        final = permitted[np.searchsorted(permitted, used)]
-        cost = (int(final.sum()), len(used))
-        if best is None or cost < best[0]:
-            best = (cost, np.array(where, np.int64), final)
-    _, where, final = best
+    where, used = best_fit(sizes[order].tolist(), lengths)
+    where, final = np.array(where, np.int64), permitted[np.searchsorted(permitted, used)]
     group = np.argsort(where, kind="stable")
     upto = np.cumsum(sizes[order][group])
     head = np.flatnonzero(np.diff(where[group], prepend=-1))
@@ -147,3 +148,19 @@ def fill(assignment: DataFrame) -> DataFrame:
     """(seq_length, n_sequences, n_tokens, fill) of a packing."""
     per = assignment.where("sequence is not null").groupBy("sequence", "seq_length").agg(F.sum("n_tokens").alias("t"))
     return per.groupBy("seq_length").agg(F.count(F.lit(1)).alias("n_sequences"), F.sum("t").alias("n_tokens")).withColumn("fill", F.col("n_tokens") / (F.col("seq_length") * F.col("n_sequences")))
+
+
+def validity(counts: DataFrame, assignment: DataFrame, longest: int = LENGTHS[-1]) -> DataFrame:
+    """(n_documents, n_wrong_tokens, n_cut_early, n_overfull, n_gaps): one row that counts documents, those of which not
+    every token is placed once, those cut though they fit, sequences that hold more than their length, and sequences whose
+    parts leave gaps or overlap. All but the first must be 0."""
+    per = assignment.groupBy("doc_id").agg(F.sum("n_tokens").alias("placed"), F.max(F.col("token_from") + F.col("n_tokens")).alias("upto"), F.count(F.lit(1)).alias("parts"))
+    j = counts.groupBy("doc_id").agg(F.sum("n_tokens").alias("n")).join(per, "doc_id", "full")
+    docs = j.agg(
+        F.count(F.lit(1)).alias("n_documents"),
+        F.sum((~F.col("n").eqNullSafe(F.col("placed")) | ~F.col("n").eqNullSafe(F.col("upto"))).cast("long")).alias("n_wrong_tokens"),
+        F.sum((F.col("parts") > F.greatest(F.lit(1), F.ceil(F.col("n") / longest))).cast("long")).alias("n_cut_early"),
+    )
+    seq = assignment.where("sequence is not null").groupBy("sequence").agg(F.sum("n_tokens").alias("t"), F.max("seq_length").alias("l"), F.max(F.col("seq_start") + F.col("n_tokens")).alias("stop"))
+    full = seq.agg(F.coalesce(F.sum((F.col("t") > F.col("l")).cast("long")), F.lit(0)).alias("n_overfull"), F.coalesce(F.sum((F.col("t") != F.col("stop")).cast("long")), F.lit(0)).alias("n_gaps"))
+    return docs.na.fill(0).join(F.broadcast(full))

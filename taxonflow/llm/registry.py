@@ -90,6 +90,12 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill(p8_packing(spark, d))
 
 
+def p8_validity(spark: SparkSession, d: str) -> DataFrame:
+    """Documents packed, and what is wrong with the packing: nothing."""
+    counts = cut_lineage(packing.token_counts(table(spark, d, "documents")))
+    return packing.validity(counts, packing.packed(counts, counts.count()))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -104,11 +110,11 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_scores(spark: SparkSession, d: str) -> DataFrame:
     """The share of stuffing and its autocorrelation, of every document with any."""
-    return stuffing.scores(table(spark, d, "documents")).select("doc_id", F.round("share", 6).alias("share"), F.round("correlation", 6).alias("correlation"))
+    return stuffing.scores(table(spark, d, "documents")).select("doc_id", F.round("share", 6).alias("share"), F.round("correlation", 6).alias("correlation"), "listed")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_overlaps, p5_found, p5_ranked, p6_found, p6_shared_share, p7_found, p7_combinations, p8_packing, p8_fill, p9_found, p9_longest_runs, p10_found, p10_scores)}
+    return {f.__name__: f for f in (p1_found, p1_overlaps, p5_found, p5_ranked, p6_found, p6_shared_share, p7_found, p7_combinations, p8_packing, p8_fill, p8_validity, p9_found, p9_longest_runs, p10_found, p10_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -129,6 +135,12 @@ def oracle_sql() -> dict[str, str]:
         "p6_found": f"WITH {runs} SELECT seq_id, min(i) AS pos, max(i) + 100 - min(i) AS fw_length FROM run GROUP BY seq_id, r",
         "p6_shared_share": f"""WITH {runs}, l AS (SELECT seq_id, max(i) + 100 - min(i) AS n FROM run GROUP BY seq_id, r), t AS (SELECT seq_id, CAST(sum(n) AS BIGINT) AS n FROM l GROUP BY 1)
             SELECT g.seq_id, length(g.b) AS n_letters, coalesce(t.n, 0) AS n_shared, round(coalesce(t.n, 0) / length(g.b), 6) AS share FROM g LEFT JOIN t ON t.seq_id = g.seq_id""",
+        "p8_validity": "SELECT count(*) AS n_documents, 0 AS n_wrong_tokens, 0 AS n_cut_early, 0 AS n_overfull, 0 AS n_gaps FROM documents",
+        "p9_longest_runs": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
+            dw AS (SELECT doc_id, i, array_to_string(w[i : i + 24], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 23)) AS i FROM d WHERE len(w) >= 25)),
+            ew AS (SELECT item_id, i AS j, array_to_string(w[i : i + 24], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 23)) AS i FROM e WHERE len(w) >= 25)),
+            m AS (SELECT doc_id, item_id, i, i - j AS diagonal FROM dw JOIN ew USING (s)), r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS island FROM m),
+            n AS (SELECT doc_id, item_id, count(*) + 24 AS n_words FROM r GROUP BY doc_id, item_id, diagonal, island) SELECT doc_id, item_id, max(n_words) AS n_words FROM n GROUP BY 1, 2""",
         "p9_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM eval_items),
             dw AS (SELECT doc_id, array_to_string(w[i : i + 24], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 23)) AS i FROM d WHERE len(w) >= 25)),
             ew AS (SELECT item_id, array_to_string(w[i : i + 24], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 23)) AS i FROM e WHERE len(w) >= 25))

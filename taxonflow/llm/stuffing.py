@@ -148,15 +148,15 @@ def _function_bytes() -> frozenset[bytes]:
     return frozenset(w.encode() for w in FUNCTION_WORDS)
 
 
-def with_links(raw: bytes, found: tuple[float, float]) -> tuple[float, float]:
+def with_links(raw: bytes, found: tuple[float, float, bool]) -> tuple[float, float, bool]:
     """What ``shares`` found for a lower-cased text, or more if lines of links are counted besides the rest."""
     size, rest = link_lines(raw) if raw.count(b"://") >= LINKS else (0, raw)
     if not size:
         return found
     data = np.frombuffer(prepared(rest), np.uint8)
-    share, correlation = shares(data, np.array([0, len(data)]))[0]
+    share, correlation, listed = shares(data, np.array([0, len(data)]))[0]
     other = share * len(rest)
-    return max(found, ((size + other) / len(raw), 1.0 if size >= other else correlation))
+    return max(found, ((size + other) / len(raw), correlation, listed or size >= other))
 
 
 def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -221,11 +221,12 @@ def autocorrelation(h: np.ndarray, lag: int = LAG) -> float:
     return float(np.mean([np.mean(h[k:] == h[:-k]) for k in range(1, top + 1)])) if top > 0 else 0.0
 
 
-def shares(data: np.ndarray, offsets: np.ndarray) -> list[tuple[float, float]]:
-    """(share of the text that is stuffing, autocorrelation of the stuffing over ``LAG`` lags) of each text."""
+def shares(data: np.ndarray, offsets: np.ndarray) -> list[tuple[float, float, bool]]:
+    """(share of the text that is stuffing, its autocorrelation over ``LAG`` lags, whether most of it is tags or offers,
+    which need no regular repetition) of each text."""
     start, end, h, text = terms(data, offsets)
     n = len(offsets) - 1
-    out = [(0.0, 0.0)] * n
+    out = [(0.0, 0.0, False)] * n
     if not len(h):
         return out
     first = np.searchsorted(text, np.arange(n + 1))
@@ -267,12 +268,13 @@ def shares(data: np.ndarray, offsets: np.ndarray) -> list[tuple[float, float]]:
         s = slice(first[d], first[d + 1])
         part = h[s][in_stuffed[s]]
         over = int(lag[d]) if is_wide[s].any() else LAG
-        out[d] = (span[d] / max(1, length[d]), autocorrelation(part, over) * over / LAG if np.mean(sure[s][in_stuffed[s]]) < TAGS else 1.0)
+        out[d] = (span[d] / max(1, length[d]), autocorrelation(part, over) * over / LAG, bool(np.mean(sure[s][in_stuffed[s]]) >= TAGS))
     return out
 
 
 def scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, share, correlation) of the documents with any stuffing."""
+    """(doc_id, share, correlation, listed) of the documents with any stuffing; ``listed``: most of it is tags, offers or lines
+    of links."""
     corpus = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long"), F.lower("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,11 +286,11 @@ def scores(docs: DataFrame) -> DataFrame:
                 s = [with_links(t, x) for t, x in zip(raw[a:], shares(data, offsets))]
                 hit = [i for i, x in enumerate(s) if x[0] > 0]
                 if hit:
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:][hit]), pa.array([s[i][0] for i in hit]), pa.array([s[i][1] for i in hit])], names=["doc_id", "share", "correlation"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:][hit]), pa.array([s[i][0] for i in hit]), pa.array([s[i][1] for i in hit]), pa.array([s[i][2] for i in hit])], names=["doc_id", "share", "correlation", "listed"])
 
-    return corpus.mapInArrow(run, "doc_id long, share double, correlation double")
+    return corpus.mapInArrow(run, "doc_id long, share double, correlation double, listed boolean")
 
 
 def stuffed(docs: DataFrame, share: float = 0.5) -> DataFrame:
     """(doc_id) of the documents of which more than ``share`` is stuffing."""
-    return scores(docs).where((F.col("share") > share) & (F.col("correlation") >= CORRELATION)).select("doc_id").distinct()
+    return scores(docs).where((F.col("share") > share) & ((F.col("correlation") >= CORRELATION) | F.col("listed"))).select("doc_id").distinct()
