@@ -53,7 +53,7 @@ OFFERS = 0.12
 FIELDS = 0.1
 LINKS = 6
 TITLE = 6
-LEAST = 24
+LEAST = 8
 
 #: Words that hold sentences together, in the languages of the corpus.
 FUNCTION_WORDS = """a an the of to is are was were be been and or but if then than that this these those it its we you they he she
