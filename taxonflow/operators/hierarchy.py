@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 from taxonflow.session import cut_lineage
 
-LINKS_A_PARTITION = 65_536
+LINKS_A_PARTITION = 524_288
 FAN_IN = 8
 MOST_AT_ONCE = 2_000_000
-STATE = "tid long, ptr long, off long, least long, root long, cycle_tid long, seg array<long>"
+STATE = "tid long, ptr long, off long, least long, root long, cycle_tid long"
+SEGMENT = ", seg array<long>"  #: only where paths are wanted
 
 
 def valid_lines(nodes: DataFrame) -> DataFrame:
@@ -93,30 +94,30 @@ def _resolve(with_paths: bool):
         cycle = np.where(bad, f.least[r], num("cycle_tid")[r])
         no_cycle = ~bad & null("cycle_tid")[r]
         seg = f.paths(t["seg"].to_pylist()) if with_paths else None
+        to, no_ptr, root, no_root = ptr[r], null("ptr")[r] | bad, num("root")[r], null("root")[r] | bad
         step = 50_000
         for a in range(0, len(tid), step):
             s = slice(a, a + step)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(tid[s]), pa.array(ptr[r][s], mask=(null("ptr")[r] | bad)[s]), pa.array(total[s]), pa.array(f.least[s]),
-                    pa.array(num("root")[r][s], mask=(null("root")[r] | bad)[s]), pa.array(cycle[s], mask=no_cycle[s]),
-                    pa.array(seg[s] if seg else [None] * len(tid[s]), pa.list_(pa.int64())),
-                ],
-                names=["tid", "ptr", "off", "least", "root", "cycle_tid", "seg"],
-            )
+            cols = [
+                pa.array(tid[s]), pa.array(to[s], mask=no_ptr[s]), pa.array(total[s]), pa.array(f.least[s]),
+                pa.array(root[s], mask=no_root[s]), pa.array(cycle[s], mask=no_cycle[s]),
+            ]
+            if with_paths:
+                cols.append(pa.array(seg[s], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(cols, names=t.column_names)
 
     return run
 
 
 def _join_up(low: DataFrame, up: DataFrame) -> DataFrame:
     """What the nodes' pointers know, added to what the nodes know."""
-    u = up.select(*[F.col(c).alias(f"u_{c}") for c in ("tid", "ptr", "off", "least", "root", "cycle_tid", "seg")])
+    u = up.select(*[F.col(c).alias(f"u_{c}") for c in up.columns])
     j = low.join(u, F.col("ptr") == F.col("u_tid"), "left")
     found = F.col("u_tid").isNotNull()
     pick = lambda c: F.when(found, F.col(f"u_{c}")).otherwise(F.col(c)).alias(c)
     return j.select(
         "tid", pick("ptr"), (F.col("off") + F.coalesce("u_off", F.lit(0))).alias("off"), F.least("least", "u_least").alias("least"),
-        pick("root"), pick("cycle_tid"), F.when(found, F.concat("seg", "u_seg")).otherwise(F.col("seg")).alias("seg"),
+        pick("root"), pick("cycle_tid"), *([F.when(found, F.concat("seg", "u_seg")).otherwise(F.col("seg")).alias("seg")] if "seg" in low.columns else []),
     )
 
 
@@ -128,17 +129,19 @@ def _doubled(state: DataFrame, n: int) -> DataFrame:
         state = cut_lineage(_join_up(state, state))
     tail = state.select(F.col("tid").alias("on_cycle"), F.col("least").alias("cycle_least"))
     return state.join(tail, F.col("ptr") == F.col("on_cycle"), "left").select(
-        "tid", F.lit(None).cast("long").alias("ptr"), "off", "least", "root", F.coalesce("cycle_least", "cycle_tid").alias("cycle_tid"), "seg"
+        "tid", F.lit(None).cast("long").alias("ptr"), "off", "least", "root", F.coalesce("cycle_least", "cycle_tid").alias("cycle_tid"), *(["seg"] if "seg" in state.columns else [])
     )
 
 
 def resolve(links_df: DataFrame, with_paths: bool = True, links_a_partition: int = LINKS_A_PARTITION, most_at_once: int = MOST_AT_ONCE) -> DataFrame:
-    """(tid, root, depth, path, cycle_tid) of each node of (tid, parent_tid); path runs from the root to the node."""
+    """(tid, root, depth, path, cycle_tid) of each node of (tid, parent_tid); path, left out without ``with_paths``, runs from the
+    root to the node."""
     end = F.col("parent_tid").isNull()
-    seg = F.array("tid") if with_paths else F.lit(None).cast("array<long>")
+    seg = [F.array("tid").alias("seg")] if with_paths else []
+    schema = STATE + SEGMENT * with_paths
     state = links_df.select(
         "tid", F.col("parent_tid").alias("ptr"), F.when(end, 0).otherwise(1).cast("long").alias("off"), F.col("tid").alias("least"),
-        F.when(end, F.col("tid")).alias("root"), F.lit(None).cast("long").alias("cycle_tid"), seg.alias("seg"),
+        F.when(end, F.col("tid")).alias("root"), F.lit(None).cast("long").alias("cycle_tid"), *seg,
     )
     state = cut_lineage(state)
     n = state.count()
@@ -150,7 +153,7 @@ def resolve(links_df: DataFrame, with_paths: bool = True, links_a_partition: int
         if groups == 1 and n > most_at_once:
             up = _doubled(state, n)
             break
-        up = cut_lineage(state.repartition(groups, "tid").mapInArrow(_resolve(with_paths), STATE))
+        up = cut_lineage(state.repartition(groups, "tid").mapInArrow(_resolve(with_paths), schema))
         open_ = up.where("ptr is not null").select(F.col("ptr").alias("entry")).distinct()
         if groups == 1:
             break
@@ -167,7 +170,8 @@ def resolve(links_df: DataFrame, with_paths: bool = True, links_a_partition: int
         up = _join_up(low, up)
         up = cut_lineage(up) if low is not levels[0] else up
     done = F.col("root").isNotNull()
-    return up.select("tid", "root", F.when(done, F.col("off")).alias("depth"), F.when(done, F.reverse("seg")).alias("path"), F.when(~done, F.col("cycle_tid")).alias("cycle_tid"))
+    path = [F.when(done, F.reverse("seg")).alias("path")] if with_paths else []
+    return up.select("tid", "root", F.when(done, F.col("off")).alias("depth"), *path, F.when(~done, F.col("cycle_tid")).alias("cycle_tid"))
 
 
 def descendants(resolved: DataFrame) -> DataFrame:
