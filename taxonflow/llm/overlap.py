@@ -138,7 +138,32 @@ def overlaps(sketched: DataFrame, m: int = REGISTERS, block: int = BLOCK) -> Dat
     return sent.groupBy("i", "j").applyInPandas(_compare(m), "a long, b long, n_a double, n_b double, shared double, std_error double")
 
 
-def sharing_pairs(df: DataFrame, group: str, identifier: Column, share: float, m: int = REGISTERS) -> DataFrame:
-    """(a, b) of pairs whose estimated shared number is at least ``share`` of the smaller set's estimated size."""
-    est = overlaps(sketches(members(df, group, identifier), m), m)
-    return est.where(F.col("shared") >= F.lit(share) * F.least("n_a", "n_b")).select("a", "b")
+def exact_shared(hashed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, shared, n_small): exact numbers for given pairs, by looking the smaller set's members up in the larger.
+
+    The smaller sets' rows are repeated once for each of their pairs; the larger sets' rows are not. Rows are spread by
+    set and member, so no set is one task.
+    """
+    first_small = F.col("n_a") <= F.col("n_b")
+    p = pairs.select("a", "b", F.when(first_small, F.col("a")).otherwise(F.col("b")).alias("small"), F.when(first_small, F.col("b")).otherwise(F.col("a")).alias("big"))
+    small = hashed.join(p, F.col("grp") == F.col("small")).select("a", "b", "big", "h").distinct()
+    big = hashed.join(p.select("big").distinct(), F.col("grp") == F.col("big"), "left_semi").select(F.col("grp").alias("g"), F.col("h").alias("k")).distinct()
+    hit = small.join(big, (F.col("big") == F.col("g")) & (F.col("h") == F.col("k")), "left")
+    return hit.groupBy("a", "b").agg(F.count("k").alias("shared"), F.count(F.lit(1)).alias("n_small"))
+
+
+def sharing_pairs(df: DataFrame, group: str, identifier: Column, share: float, m: int = REGISTERS, sigmas: float = 4.0) -> DataFrame:
+    """(a, b) of pairs that share at least ``share`` of the smaller set.
+
+    The joint estimate decides. A set far smaller than the other fills too few of the shared registers for that, so pairs
+    whose estimate lies within ``sigmas`` of its standard errors of the line are checked exactly afterwards; where there
+    are none the members are read once.
+    """
+    hashed = members(df, group, identifier)
+    est = cut_lineage(overlaps(sketches(hashed, m), m))
+    over = F.col("shared") - F.lit(share) * F.least("n_a", "n_b")
+    undecided = est.where(F.abs(over) < sigmas * F.col("std_error"))
+    sure = est.where(over >= sigmas * F.col("std_error")).select("a", "b")
+    if undecided.isEmpty():
+        return sure
+    return sure.unionByName(exact_shared(hashed, undecided).where(F.col("shared") >= F.lit(share) * F.col("n_small")).select("a", "b"))

@@ -84,6 +84,18 @@ def test_shared_runs_equal_brute_force(spark, hot, letters):
     assert sum(share.values()) == sum(n for _, _, n in got) and share[32] == 0
 
 
+@pytest.mark.parametrize("hot", [0, 2000])
+def test_shared_runs_of_records_longer_than_a_piece(spark, monkeypatch, hot):
+    rng = random.Random(21)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+    common = dna(150)
+    recs = [(1, dna(70) + common + dna(90)), (2, common[20:] + dna(200)), (3, dna(33) + common[:60] + "N" + common[60:]), (4, dna(310))]
+    monkeypatch.setattr(spans, "RECORD_LETTERS", 40)
+    df = spark.createDataFrame(recs, "id long, t string")
+    got = {(r["rec"], r["start"], r["length"]) for r in spans.shared_runs(df, "id", "t", span=24, k=9, hot=hot).collect()}
+    assert got == _shared(recs, 24) and len(got) >= 4
+
+
 def test_shared_runs_of_empty(spark):
     df = spark.createDataFrame([], "id long, t string")
     assert spans.shared_runs(df, "id", "t").count() == 0
@@ -138,10 +150,37 @@ def test_packing_fills_where_small_items_are_at_hand(spark):
 
 
 def test_best_fit_takes_the_least_room():
-    where, used = packing.best_fit([8, 7, 3, 2, 2], (10,), 10)
+    where, used = packing.best_fit([8, 7, 3, 2, 2], (10,))
     assert where == [0, 1, 1, 0, 2] and used == [10, 10, 2]
 
 
+def test_several_lengths_are_opened_and_each_part_of_the_cost_matters(spark, monkeypatch):
+    rng = random.Random(9)
+    sizes = np.array([rng.randint(20, 400) for _ in range(4000)] + [rng.randint(1100, 4000) for _ in range(300)])
+    lengths = (512, 1024, 2048, 4096)
+
+    def opened():
+        final = dict(zip(*(x.tolist() for x in packing.pack(sizes, lengths)[::2])))
+        return {n: sum(1 for x in final.values() if x == n) for n in lengths}, sum(final.values())
+
+    count, total = opened()
+    assert count[1024] and count[2048] and count[4096] and sizes.sum() / total > 0.98
+    monkeypatch.setattr(packing, "ATTENTION", 10**9)  # no pairs of places: long sequences cost least
+    assert opened()[0][4096] > count[4096]
+    monkeypatch.setattr(packing, "ATTENTION", 8192)
+    monkeypatch.setattr(packing, "PER_SEQUENCE", 0)  # no fixed part: short ones do
+    assert opened()[0][512] > count[512]
+
+
+def test_validity_tells_wrong_packings(spark):
+    counts = spark.createDataFrame([(1, 10), (2, 20), (3, 0)], "doc_id long, n_tokens long")
+    good = packing.packed(counts, 3, (16, 32))
+    assert tuple(packing.validity(counts, good, 32).first()) == (3, 0, 0, 0, 0)
+    assert packing.validity(counts, good.where("doc_id <> 1"), 32).first()["n_wrong_tokens"] == 1
+    assert packing.validity(counts, good.withColumn("seq_length", F.lit(8).cast("long")), 32).first()["n_overfull"] == 1
+    assert packing.validity(counts, good.withColumn("seq_start", F.col("seq_start") + 1), 32).first()["n_gaps"] == 1
+
+
 def test_token_counts_of_odd_texts(spark):
     texts = [(1, "def f(x):\n    return x"), (2, ""), (3, None), (4, "<|endoftext|>"), (None, "a"), (5, "a" * 60_000), (6, " " * 60_000), (7, "naïve 漢字 🙂")]
     got = {r["doc_id"]: r["n_tokens"] for r in packing.token_counts(spark.createDataFrame(texts, "doc_id long, text string").withColumn("n_tokens", F.lit(3))).collect()}
