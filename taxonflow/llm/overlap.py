@@ -23,12 +23,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taxonflow.session import cut_lineage, n_tasks
+from taxonflow.session import cut_lineage
 
 REGISTERS = 65_536
 STEPS = 512  #: registers' values for each halving of u
 BLOCK = 128  #: sets in a block
-LEAST_BLOCK = 16
 
 
 def members(df: DataFrame, group: str, identifier: Column) -> DataFrame:
@@ -126,12 +125,10 @@ def _compare(m: int):
 def overlaps(sketched: DataFrame, m: int = REGISTERS, block: int = BLOCK) -> DataFrame:
     """(a, b, n_a, n_b, shared, std_error) of every pair a < b of sets; only_a = n_a - shared, only_b = n_b - shared.
 
-    A block has at most about ``block`` sets, and fewer where otherwise the pairs of blocks would be fewer than the tasks.
+    A sketch is copied once for each block, so blocks are as large as a task can hold: about ``block`` sets each.
     """
     sketched = cut_lineage(sketched)
-    n = sketched.count()
-    spread = int(np.ceil(np.sqrt(2 * n_tasks(sketched.sparkSession))))  # so many blocks have as many pairs as there are tasks
-    blocks = max(1, -(-n // block), min(spread, n // LEAST_BLOCK))
+    blocks = max(1, -(-sketched.count() // block))
     numbered = sketched.withColumn("block", F.pmod(F.xxhash64("grp"), F.lit(blocks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     sent = numbered.withColumn("o", other).select(F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "grp", "regs")
