@@ -1,7 +1,7 @@
 """Exact per-read classification: greedy seed cover on both strands against a suffix array of the references.
 
 Up to ``MOST_LETTERS`` letters one index is sent to each task. Beyond that the references are cut into shards of bounded
-letters, whose indexes are built in tasks, handed to all executors as files and read there through memory maps; each step
+letters, whose indexes are built in tasks, written to the shared folder and read there through memory maps; each step
 takes the longest match over all shards and the sum of its places, so the rows are the same for any size. Time grows with
 reads times shards. Sequences are kept apart by separators, so no match crosses a junction.
 The per-read steps are sequential by nature and run in one Arrow-batched call.
@@ -13,7 +13,6 @@ import atexit
 import mmap
 import os
 import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -21,11 +20,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taxonflow.session import cut_lineage
+from taxonflow.session import cut_lineage, shared_folder
 
 MOST_LETTERS = 10_000_000
 SHARD_LETTERS = 4_000_000
@@ -194,8 +192,8 @@ class Shards:
 
 
 @lru_cache(1)
-def _opened(names: tuple[str, ...]) -> Shards:
-    return Shards([SparkFiles.get(n) for n in names])
+def _opened(paths: tuple[str, ...]) -> Shards:
+    return Shards([*paths])
 
 
 @dataclass
@@ -383,13 +381,16 @@ def _sharded(reads: DataFrame, refs: DataFrame, m: int, k: int, exclude: list[in
 
     by = pieces.withColumn("shard", F.pmod(F.xxhash64("ref_id", "i"), F.lit(shards)))
     built = cut_lineage(by.groupBy("shard").applyInPandas(build, "index binary"))
-    folder, names = tempfile.mkdtemp(prefix="taxonflow-shards-"), []
-    atexit.register(shutil.rmtree, folder, True)  # executors fetch the files when the plan runs
+    shared = shared_folder(spark).removeprefix("file:")
+    if "://" in shared.lstrip("/"):
+        raise ValueError(f"references beyond {MOST_LETTERS} letters need a spark.checkpoint.dir that is mounted on every machine, not {shared}")
+    folder, paths = os.path.join("/", shared.lstrip("/"), f"shards-{uuid.uuid4().hex}"), []
+    os.makedirs(folder)
+    atexit.register(shutil.rmtree, folder, True)  # executors open the files when the plan runs
     for row in built.toLocalIterator():  # one partition's shards at a time
-        names.append(f"shard-{uuid.uuid4().hex}")
-        with open(os.path.join(folder, names[-1]), "wb") as f:
+        paths.append(os.path.join(folder, f"shard-{len(paths)}"))
+        with open(paths[-1], "wb") as f:
             f.write(row["index"])
-        spark.sparkContext.addFile(os.path.join(folder, names[-1]))
-    known, out_of = tuple(names), frozenset(r[0] for r in refs.where(F.col("tid").isin(exclude)).select("ref_id").collect()) if exclude else frozenset()
+    known, out_of = tuple(paths), frozenset(r[0] for r in refs.where(F.col("tid").isin(exclude)).select("ref_id").collect()) if exclude else frozenset()
     got = _classified(reads, lambda: _opened(known), m, k, out_of, lambda r: (r,), "read_id long, ref_id long, score long, hit_len long, max_score long")
     return got.join(refs.select("ref_id", "tid"), "ref_id").select("read_id", "ref_id", F.col("tid").cast("long").alias("tid"), "score", "hit_len", "max_score")

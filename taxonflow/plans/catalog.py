@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from taxonflow.functions import dna
 from taxonflow.operators import abundance, assign, exact, filters, index, redundancy, report, seeds, taxonomy
 from taxonflow.plans.core_problems import LINK, VALID, WALK
-from taxonflow.session import cut_lineage, table
+from taxonflow.session import cut_lineage, shared_folder, table
 from taxonflow.sources import readers, sinks
 
 READ_LENGTH = 100
@@ -522,21 +522,15 @@ def rank_kendall(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     """Running counts of events by type, driven through a stream to its end."""
-    import shutil
-    import tempfile
     import uuid
 
     from taxonflow.streaming import streams
 
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="taxonflow-stream-")
+    folder = f"{shared_folder(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     static = table(spark, d, "events")
     s = spark.readStream.schema(static.schema).option("pathGlobFilter", "events*.parquet").parquet(d)
     out = streams.run_once(streams.running_counts(s, "event_type"), f"counts_{uuid.uuid4().hex}", "complete", folder)
-    result = spark.createDataFrame(out.collect(), out.schema)  # one row for each event type
-    if not shared:
-        shutil.rmtree(folder, ignore_errors=True)
-    return result
+    return spark.createDataFrame(out.collect(), out.schema)  # one row for each event type
 
 
 QUERIES = [

@@ -31,17 +31,26 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests) a local
-    folder is used. The files outlive any executor, so a lost executor costs a re-read and not a re-run.
+    The files outlive any executor, so a lost executor costs a re-read and not a re-run.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="taxonflow-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; where it is unset, a local one in a local session (tests),
+    and an error in any other, whose executors could not read it."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder all executors share")
+    return tempfile.mkdtemp(prefix="taxonflow-checkpoint-")
+
+
 def n_tasks(spark: SparkSession) -> int:
     """Partitions to use where an explicit number is needed: the session's shuffle setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

@@ -15,17 +15,13 @@ FORMATS = ("fasta", "fastq", "tab5", "tab6", "qseq", "raw", "fasta_cont")
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """rdid by file and place. Counts by partition go to the driver (one number each), rows stay where they are."""
+    """rdid by file and place. Rows stay where they are; one number a file partition is summed up and broadcast."""
     marked = df.withColumn("_m", F.monotonically_increasing_id()).withColumn("_p", F.shiftright("_m", 33))
-    counts = {r[0]: r[1] for r in marked.groupBy("_p").count().collect()}
-    start, at = {}, 0
-    for p in sorted(counts):
-        start[p] = at
-        at += counts[p]
-    if not start:
-        return df.withColumn("rdid", F.lit(0).cast("long"))
-    base = F.create_map(*[F.lit(x) for p in start.items() for x in p])
-    return marked.withColumn("rdid", base[F.col("_p")] + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p")
+    counts = marked.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    start = counts.select(F.col("_p").alias("_q"), F.coalesce(before, F.lit(0)).alias("_start"))
+    placed = marked.join(F.broadcast(start), F.col("_p") == F.col("_q"))
+    return placed.withColumn("rdid", F.col("_start") + F.col("_m").bitwiseAND((1 << 33) - 1)).drop("_m", "_p", "_q", "_start")
 
 
 def _bases(seq: Column) -> Column:
@@ -189,9 +185,3 @@ def assemblies(rows: DataFrame, level: str | None = None, category: str | None =
 def by_taxon_and_place(refs: DataFrame) -> DataFrame:
     """Sequences ordered by taxon, then place in the file (a range-partitioned sort)."""
     return refs.orderBy("taxid", "file_pos")
-
-
-def single_row_window(df: DataFrame, by: str, order: str) -> DataFrame:
-    """The first row of each key in the given order, ties to any equal row."""
-    w = Window.partitionBy(by).orderBy(order)
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
