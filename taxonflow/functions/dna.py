@@ -140,6 +140,89 @@ def kmers(df: DataFrame, ident: str, seq: str, k: int) -> DataFrame:
     return df.select(F.col(ident).cast("bigint"), seq).where(F.col(ident).isNotNull() & F.col(seq).isNotNull()).mapInArrow(run, "ident long, pos long, kmer long")
 
 
+LETTERS_AT_ONCE = 2**18  # letters placed_kmers turns into rows at a time
+
+
+def _both_strands(code: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """2-bit codes of the k letters from each place on, as they stand and reverse complemented; words of 1, 2, 4, ... letters are put together."""
+    word = ((code & 3).astype(np.int64), (3 - (code & 3)).astype(np.int64))
+    done, out, w = 0, None, 1
+    while True:
+        if k & w:
+            n = len(code) - done - w + 1
+            out = word if out is None else ((out[0][:n] << 2 * w) | word[0][done : done + n], (word[1][done : done + n] << 2 * done) | out[1][:n])
+            done += w
+        if done == k:
+            return out
+        n = len(code) - 2 * w + 1
+        word = ((word[0][:n] << 2 * w) | word[0][w : w + n], (word[1][w : w + n] << 2 * w) | word[1][:n])
+        w *= 2
+
+
+def _pieces(idents: list, texts: list[str | None], k: int, at_once: int) -> Iterator[list[tuple]]:
+    """Groups of (ident, first place wanted, last, place of the first letter, length of the text, letters) of about ``at_once`` letters;
+    a longer text comes in several pieces, each with the letter before and after its k-mers."""
+    group, letters = [], 0
+    for i, text in zip(idents, texts):
+        raw = text.encode("ascii", "replace") if text else b""
+        for start in range(0, len(raw) - k + 1, at_once):
+            at = max(0, start - 1)
+            part = raw[at : start + at_once + k]
+            group.append((i, start, start + at_once - 1, at, len(raw), part))
+            letters += len(part)
+            if letters >= at_once:
+                yield group
+                group, letters = [], 0
+    if group:
+        yield group
+
+
+def placed_kmers(df: DataFrame, ident: str, seq: str, k: int, form: str = "canonical", twice: bool = False) -> DataFrame:
+    """(ident, at, rest, kmer), one row for each valid k-mer. ``at`` holds its place, whether it is flipped, and the codes of
+    the letters beside it (4 where none of A, C, G, T is), see place(); ``rest`` is the number of letters behind it. The
+    k-mer is given as it stands (``forward``), reverse complemented (``reverse``, flipped) or as the lesser of both
+    (``canonical``, flipped where that is the reverse complement); with ``twice`` one that is its own reverse complement
+    has a row for either."""
+    if not 0 < k <= 31:
+        raise ValueError("k must be between 1 and 31")
+    if form not in ("canonical", "forward", "reverse"):
+        raise ValueError("form is canonical, forward or reverse")
+
+    at_once = LETTERS_AT_ONCE
+
+    def rows(group: list[tuple]) -> list[np.ndarray]:
+        code = _CODE[np.frombuffer(b"|" + b"|".join(g[5] for g in group) + b"|", np.uint8)]
+        lengths = np.array([len(g[5]) + 1 for g in group])
+        own = np.repeat(np.arange(len(group)), lengths)  # the piece of each place from the first letter on
+        begins = np.cumsum(lengths) - lengths + 1
+        i, first, last, at0, whole = (np.array([g[c] for g in group], np.int64) for c in range(5))
+        bad = np.concatenate([[0], np.cumsum(code == 4)])
+        x = np.flatnonzero(bad[k:] == bad[:-k])
+        g = own[x - 1]
+        pos = x - begins[g] + at0[g]
+        wanted = (pos >= first[g]) & (pos <= last[g])
+        x, g, pos = x[wanted], g[wanted], pos[wanted]
+        there, back = (w[x] for w in _both_strands(code, k))
+        flip = back < there if form == "canonical" else np.full(len(x), form == "reverse")
+        at = (pos << 7) | (flip.astype(np.int64) << 6) | (code[x - 1].astype(np.int64) << 3) | code[x + k]
+        out = [i[g], at, whole[g] - k - pos, np.where(flip, back, there)]
+        if twice and form == "canonical" and (own_rc := there == back).any():
+            out = [np.concatenate([c, c[own_rc] | bit]) for c, bit in zip(out, (0, 1 << 6, 0, 0))]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for group in _pieces(b.column(0).to_pylist(), b.column(1).to_pylist(), k, at_once):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows(group)], names=["ident", "at", "rest", "kmer"])
+
+    return df.select(F.col(ident).cast("bigint"), seq).where(F.col(ident).isNotNull() & F.col(seq).isNotNull()).mapInArrow(run, "ident long, at long, rest long, kmer long")
+
+
+def place(at: Column) -> tuple[Column, Column, Column, Column]:
+    """pos, flip, before, after of a row of placed_kmers."""
+    return F.shiftright(at, 7), F.shiftright(at, 6).bitwiseAND(F.lit(1)), F.shiftright(at, 3).bitwiseAND(F.lit(7)), at.bitwiseAND(F.lit(7))
+
+
 def kmer_code(kmer: Column) -> Column:
     """2-bit code of a k-mer column (k <= 31); null if another letter stands in it."""
     return F.when(F.upper(kmer).rlike("^[ACGT]+$"), F.conv(F.translate(F.upper(kmer), "ACGT", "0123"), 4, 10).cast("bigint"))

@@ -67,7 +67,7 @@ def seed_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _runs(spark: SparkSession, d: str, cap: int | None = None) -> DataFrame:
-    return seeds.maximal_matches(seeds.seed_matches(seeds.read_kmers(reads(spark, d), "read_id", "seq"), seeds.index(refs(spark, d), "ref_id", "bases", cap=cap)))
+    return seeds.runs(reads(spark, d), "read_id", "seq", refs(spark, d), "ref_id", "bases", cap=cap)
 
 
 def seed_runs(spark: SparkSession, d: str) -> DataFrame:

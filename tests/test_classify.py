@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from taxonflow.functions import dna
 from taxonflow.operators import abundance, assign, exact, hierarchy, redundancy, report, seeds, taxonomy
 from taxonflow.plans import catalog
 
@@ -154,6 +155,28 @@ def test_seed_runs_find_planted_matches(spark):
     assert (10, True, 0, 20, 60) in got and all(r["ref_id"] == 1 for r in runs)
 
 
+@pytest.mark.parametrize("name", ["hit_score"])
+def test_seed_queries_send_no_kmers_through_the_driver(spark, data, name):
+    """Spark takes the k-mers for as large as the compressed file, and broadcast them below its usual 10 MB."""
+    plan = catalog.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+@pytest.mark.parametrize("k, cap, strands", [(5, None, ("fw", "rc")), (6, None, ("fw", "rc")), (5, None, ("rc",)), (6, 3, ("fw", "rc")), (5, 2, ("fw",)), (7, 1, ("rc",))])
+def test_runs_by_their_ends_are_the_merged_matches(spark, monkeypatch, k, cap, strands):
+    """Every run of single matches: repeats, other letters, texts cut into pieces, k-mers that are their own complement."""
+    monkeypatch.setattr(dna, "LETTERS_AT_ONCE", 16)
+    monkeypatch.setattr(seeds, "SPAN", 8)
+    rng = random.Random(21)
+    own = "ACGCGT" * 4 + "N" + "GAATTC" * 2 + "AAAAAAAAAAAAAAA"
+    refs = [(i, t) for i, t in enumerate([own, _dna(rng, 300), "ACG", "", None, own[3:40].lower() + "R" + _dna(rng, 60), "N" * 20, _dna(rng, 16), _dna(rng, 22)])]
+    reads = [(2**40 + i, t) for i, t in enumerate([refs[1][1][40:140], own[5:], "TTTTTTTTT", None, "", "ACNGT" * 9, refs[5][1][::-1].translate(str.maketrans("ACGTacgt", "TGCAtgca")), _dna(rng, 90), refs[1][1][100:160] + "N" + refs[1][1][161:180]])]
+    g, r = spark.createDataFrame(refs, "g long, t string").coalesce(1), spark.createDataFrame(reads, "r long, s string").coalesce(1)
+    got = [tuple(x) for x in seeds.runs(r, "r", "s", g, "g", "t", k, cap, strands).collect()]
+    want = [tuple(x) for x in seeds.maximal_matches(seeds.seed_matches(seeds.read_kmers(r, "r", "s", k, strands), seeds.index(g, "g", "t", k, cap)), k).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 10
+
+
 @pytest.mark.parametrize("n", [0, 40])
 def test_correlations(spark, n):
     rng = random.Random(5)
