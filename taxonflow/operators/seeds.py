@@ -98,6 +98,11 @@ def runs(reads: DataFrame, read_id: str, seq: str, refs: DataFrame, ref_id: str,
     return out.select("read_id", "fw", "ref_id", "off", "ref_pos", (F.col("end") - F.col("off") + k).alias("length"))
 
 
+def seed_counts(runs: DataFrame, k: int = SEED) -> DataFrame:
+    """(read_id, ref_id, fw, n_seeds): single k-mer matches, each of which is in one run."""
+    return runs.groupBy("read_id", "ref_id", "fw").agg(F.sum(F.col("length") - (k - 1)).alias("n_seeds"))
+
+
 def reference_scores(runs: DataFrame) -> DataFrame:
     """(read_id, ref_id, score, hit_len): squared hit lengths and lengths summed by strand, the better strand taken."""
     strand = runs.groupBy("read_id", "ref_id", "fw").agg(F.sum(dna.hit_score(F.col("length"))).alias("score"), F.sum("length").alias("hit_len"))

@@ -66,8 +66,8 @@ def seed_join(spark: SparkSession, d: str) -> DataFrame:
     return m.groupBy("read_id", "ref_id", "fw").agg(F.count(F.lit(1)).alias("n_seeds"))
 
 
-def _runs(spark: SparkSession, d: str, cap: int | None = None) -> DataFrame:
-    return seeds.runs(reads(spark, d), "read_id", "seq", refs(spark, d), "ref_id", "bases", cap=cap)
+def _runs(spark: SparkSession, d: str, cap: int | None = None, strands: tuple[str, ...] = ("fw", "rc")) -> DataFrame:
+    return seeds.runs(reads(spark, d), "read_id", "seq", refs(spark, d), "ref_id", "bases", cap=cap, strands=strands)
 
 
 def seed_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -309,8 +309,7 @@ def score_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def one_strand(spark: SparkSession, d: str) -> DataFrame:
-    m = seeds.seed_matches(seeds.read_kmers(reads(spark, d), "read_id", "seq", strands=("rc",)), seeds.index(refs(spark, d), "ref_id", "bases"))
-    return m.groupBy("read_id", "ref_id").agg(F.count(F.lit(1)).alias("n_seeds"))
+    return seeds.seed_counts(_runs(spark, d, strands=("rc",))).drop("fw")
 
 
 def seqid_display(spark: SparkSession, d: str) -> DataFrame:
