@@ -62,8 +62,7 @@ def chosen(spark: SparkSession, d: str, known: tuple[DataFrame, DataFrame] | Non
 
 
 def seed_join(spark: SparkSession, d: str) -> DataFrame:
-    m = seeds.seed_matches(seeds.read_kmers(reads(spark, d), "read_id", "seq"), seeds.index(refs(spark, d), "ref_id", "bases"))
-    return m.groupBy("read_id", "ref_id", "fw").agg(F.count(F.lit(1)).alias("n_seeds"))
+    return seeds.seed_counts(_runs(spark, d))
 
 
 def _runs(spark: SparkSession, d: str, cap: int | None = None, strands: tuple[str, ...] = ("fw", "rc")) -> DataFrame:

@@ -155,7 +155,7 @@ def test_seed_runs_find_planted_matches(spark):
     assert (10, True, 0, 20, 60) in got and all(r["ref_id"] == 1 for r in runs)
 
 
-@pytest.mark.parametrize("name", ["hit_score", "one_strand", "seed_runs", "occurrence_cap"])
+@pytest.mark.parametrize("name", ["hit_score", "one_strand", "seed_runs", "occurrence_cap", "seed_join"])
 def test_seed_queries_send_no_kmers_through_the_driver(spark, data, name):
     """Spark takes the k-mers for as large as the compressed file, and broadcast them below its usual 10 MB."""
     plan = catalog.queries()[name](spark, data)._jdf.queryExecution().executedPlan().toString()
