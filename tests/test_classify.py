@@ -162,6 +162,15 @@ def test_seed_queries_send_no_kmers_through_the_driver(spark, data, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+@pytest.mark.parametrize("name", ["seed_runs"])
+def test_seed_queries_that_ran_sent_no_kmers_through_the_driver(spark, data, name):
+    """Nor once the sizes are known: all sides are far below 10 MB here."""
+    df = catalog.queries()[name](spark, data)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 @pytest.mark.parametrize("k, cap, strands", [(5, None, ("fw", "rc")), (6, None, ("fw", "rc")), (5, None, ("rc",)), (6, 3, ("fw", "rc")), (5, 2, ("fw",)), (7, 1, ("rc",))])
 def test_runs_by_their_ends_are_the_merged_matches(spark, monkeypatch, k, cap, strands):
     """Every run of single matches: repeats, other letters, texts cut into pieces, k-mers that are their own complement."""
