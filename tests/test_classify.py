@@ -162,7 +162,7 @@ def test_seed_queries_send_no_kmers_through_the_driver(spark, data, name):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
-@pytest.mark.parametrize("name", ["seed_runs"])
+@pytest.mark.parametrize("name", ["seed_runs", "occurrence_cap"])
 def test_seed_queries_that_ran_sent_no_kmers_through_the_driver(spark, data, name):
     """Nor once the sizes are known: all sides are far below 10 MB here."""
     df = catalog.queries()[name](spark, data)
